@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 
-from . import bpe
-from .common import table
+from . import bpe, quality, tokenfile
+from .common import Scratch, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -18,6 +18,14 @@ def op7_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_token_file(spark, sf_dir):
+    return tokenfile.write(table(spark, sf_dir, "documents"), tokenizer_path(), Scratch(spark, "tokenfile")).digest()
+
+
+def op10_quality_outliers(spark, sf_dir):
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
