@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import bpe, minhash, quality, tokenfile
+from . import bpe, minhash, mixing, quality, tokenfile
 from .common import Scratch, table
 
 
@@ -14,6 +14,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return os.path.realpath(public_tokenizers.path(name))
 
 
+def op4_entropy_balanced_mix(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dups(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
