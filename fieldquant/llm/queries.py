@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import bpe, minhash, mixing, quality, tokenfile
+from . import bpe, minhash, mixing, quality, sharding, tokenfile
 from .common import Scratch, table
 
 
@@ -18,6 +18,10 @@ def op4_entropy_balanced_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_packed_shards(spark, sf_dir):
+    return sharding.shards(table(spark, sf_dir, "documents"), 8)
+
+
 def op6_minhash_near_dups(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
