@@ -423,22 +423,24 @@ def valid_text(raw: bytes) -> bytes:
     return raw.decode("utf-8", "replace").encode()
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[str, Codec] = {}
 
 
 def codec_of(spec) -> Codec:
     """The codec of a broadcast file, built once a worker."""
-    if spec.id not in _CODECS if hasattr(spec, "id") else hash(spec) not in _CODECS:
+    key, text = spec.value
+    if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[spec.id if hasattr(spec, "id") else hash(spec)] = Codec(spec.value if hasattr(spec, "value") else spec)
-    return next(iter(_CODECS.values()))
+        _CODECS[key] = Codec(text)
+    return _CODECS[key]
 
 
 def broadcast_spec(spark: SparkSession, path: str):
-    """The tokenizer file (a few MB, whatever the corpus) for all executors."""
+    """The tokenizer file (a few MB, whatever the corpus) and its digest for all executors."""
     ship(spark)
     with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())
+        text = f.read()
+    return spark.sparkContext.broadcast((hashlib.md5(text.encode()).hexdigest(), text))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", id_col: str | None = "doc_id") -> DataFrame:

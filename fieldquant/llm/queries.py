@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import bpe, minhash, mixing, quality, sharding, tokenfile
+from . import bpe, minhash, mixing, pst, quality, sharding, tokenfile
 from .common import Scratch, table
 
 
@@ -14,6 +14,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return os.path.realpath(public_tokenizers.path(name))
 
 
+def op1_suffix_tree_scores(spark, sf_dir):
+    return pst.score(table(spark, sf_dir, "documents"))
+
+
 def op4_entropy_balanced_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
