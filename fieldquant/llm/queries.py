@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import bpe, minhash, mixing, pst, quality, sharding, tokenfile
+from . import bpe, embed_dedup, minhash, mixing, pst, quality, sharding, tokenfile
 from .common import Scratch, table
 
 
@@ -18,6 +18,10 @@ def op1_suffix_tree_scores(spark, sf_dir):
     return pst.score(table(spark, sf_dir, "documents"))
 
 
+def op2_spherical_kmeans_dedup(spark, sf_dir):
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_entropy_balanced_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
