@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import bpe, embed_dedup, minhash, mixing, pst, quality, sharding, tokenfile
+from . import bpe, chat, embed_dedup, licenses, minhash, mixing, pst, quality, sharding, tokenfile
 from .common import Scratch, table
 
 
@@ -22,6 +22,10 @@ def op2_spherical_kmeans_dedup(spark, sf_dir):
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_chat_snapshots(spark, sf_dir):
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op4_entropy_balanced_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,10 @@ def op7_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_license_rules(spark, sf_dir):
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op9_token_file(spark, sf_dir):
     return tokenfile.write(table(spark, sf_dir, "documents"), tokenizer_path(), Scratch(spark, "tokenfile")).digest()
 
@@ -51,4 +59,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op3_chat_snapshots": chat.ORACLE, "op8_license_rules": licenses.oracle()}
