@@ -7,10 +7,11 @@
 3. In each band bucket everybody is compared with the smallest member: first by
    signatures, then on full sets.  The links' components come from alternating
    large-star and small-star.
-4. Buckets that still hold several components are compared blockwise by
-   signatures across components, whatever their size; what passes is confirmed
-   on full sets.  Nothing is capped or dropped: after this step any two members
-   of a bucket are either compared or known to be in one component.
+4. Buckets that still hold several components are compared blockwise across
+   components, whatever their size: signatures first, then the full sets, inside
+   the task that holds the two blocks, which gives back only links that join
+   components.  Nothing is capped or dropped: after this step any two members of
+   a bucket are either compared or known to be in one component.
 
 With 24 bands of 6 a pair at a similarity of 0.85 fails to share a bucket with a
 probability of 1.2e-5, at 0.8 of 7e-4 (``bands``/``rows`` are parameters).
@@ -29,8 +30,8 @@ from .components import connected
 
 #: Members of a block in step 4.
 BLOCK = 512
-#: A pair whose signatures agree in a share this much below the threshold is not read in full (7 standard deviations at 144 minima).
-MARGIN = 0.22
+#: A pair whose signatures agree in a share this much below the threshold is not read in full (5 standard deviations at 144 minima).
+MARGIN = 0.16
 
 
 def shingle_sets(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,35 +150,49 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b").distinct()
 
 
-def _blocks(rest: DataFrame, least: float) -> DataFrame:
-    """Pairs across components of one bucket whose signatures agree; rest: band, node, comp, sig, size."""
+def _blocks(rest: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (a, b) that join components of one bucket; rest: band, node, comp, size, sig, bands, shingles.
+
+    A pair is compared in the first of the buckets that it shares.
+    """
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    rest = rest.withColumn("parts", parts).withColumn("mine", mine)
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    rest = rest.select("band", "node", "comp", "sig", "mine", other)
-    rest = rest.select("band", "node", "comp", "sig", (F.col("mine") <= F.col("other")).alias("first"), F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+    rest = rest.withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    payload = ["band", "node", "comp", "sig", "bands", "shingles"]
+    rest = rest.select(*payload, "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rest = rest.select(*payload, (F.col("mine") <= F.col("other")).alias("first"), F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
     node = rest.schema["node"].dataType.simpleString()
 
     def run(t: pa.Table) -> pa.Table:
-        nodes = t.column("node").to_numpy()
-        comp = t.column("comp").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(nodes), -1)
+        nodes, comp, first = (t.column(c).to_numpy() for c in ("node", "comp", "first"))
+        n = len(nodes)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(n, -1)
+        keys = np.array(one_array(t.column("bands")).flatten()).reshape(n, -1)
+        lists = one_array(t.column("shingles"))
+        flat, count = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
+        at = np.concatenate([[0], np.cumsum(count)])
+        band = int(np.argwhere(keys == t.column("band")[0].as_py())[0, 1])  # rows of one doc_id may differ
         same = t.column("p")[0].as_py() == t.column("q")[0].as_py()
-        first = t.column("first").to_numpy()
-        left = np.arange(len(nodes)) if same else np.flatnonzero(first)
-        right = np.arange(len(nodes)) if same else np.flatnonzero(~first)
-        xs, ys = [], []
-        for i in left.tolist():
-            j = right[(comp[right] != comp[i]) & ((nodes[right] > nodes[i]) if same else True)]
-            if len(j):
-                j = j[(sig[j] == sig[i]).mean(axis=1) >= least]
-                xs += [nodes[i]] * len(j)
-                ys += nodes[j].tolist()
-        lo, hi = [min(x, y) for x, y in zip(xs, ys)], [max(x, y) for x, y in zip(xs, ys)]
-        return pa.table({"a": pa.array(lo, t.schema.field("node").type), "b": pa.array(hi, t.schema.field("node").type)})
-
-    return rest.groupBy("band", "p", "q").applyInArrow(run, f"a {node}, b {node}").distinct()
+        comp = np.unique(comp, return_inverse=True)[1]
+        out = []
+        for i in range(n) if same else np.flatnonzero(first).tolist():
+            j = np.arange(i + 1, n) if same else np.flatnonzero(~first)
+            j = j[comp[j] != comp[i]]
+            j = j[100 * np.minimum(count[j], count[i]) >= percent * np.maximum(count[j], count[i])]
+            j = j[(sig[j] == sig[i]).mean(axis=1) >= least] if len(j) else j
+            if len(j) and band:
+                j = j[~(keys[j, :band] == keys[i, :band]).any(axis=1)]
+            mine = flat[at[i] : at[i + 1]]
+            for k in j.tolist():
+                if comp[k] != comp[i]:
+                    both = np.intersect1d(mine, flat[at[k] : at[k + 1]], assume_unique=True).size
+                    if 100 * both >= percent * (count[i] + count[k] - both):
+                        out.append((i, k))
+                        comp[comp == comp[k]] = comp[i]
+        kind = t.schema.field("node").type
+        pairs = [sorted((nodes[i], nodes[k])) for i, k in out]
+        return pa.table({"a": pa.array([x for x, _ in pairs], kind), "b": pa.array([y for _, y in pairs], kind)})
+
+    return rest.groupBy("band", "p", "q").applyInArrow(run, f"a {node}, b {node}")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 24, rows: int = 6, scratch: Scratch | None = None) -> DataFrame:
@@ -202,28 +217,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     buckets = by_band.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("least")).filter("size > 1").withColumnRenamed("band", "key")
     members = scratch.write(by_band.join(buckets, F.col("band") == F.col("key")).select("band", "node", "size", "least"), "members")
     scratch.drop(by_band)
-    nodes = members.select("node").distinct()
-    sigs = scratch.write(full.select(F.col("doc_id").alias("node"), "h1", "sig").join(nodes, "node", "left_semi").dropDuplicates(["node", "h1"]).select("node", "sig"), "sigs")
+    # signatures and full sets of all members of such buckets; by shuffle at any size, the list of members grows with the corpus
+    nodes = scratch.write(members.select("node").distinct(), "nodes")
+    sigs = full.select(F.col("doc_id").alias("node"), "h1", "sig", "bands").join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node", "h1"])
+    sigs = scratch.write(sigs.select("node", "sig", "bands"), "sigs")
+    texts = docs.select("doc_id", "text").join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")
+    sets = scratch.write(_sets(texts, k), "sets")
 
     pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     alike = scratch.write(_alike(pairs, sigs, least).distinct(), "alike")
-    read = alike.select(F.col("a").alias("doc_id")).unionByName(alike.select(F.col("b").alias("doc_id"))).distinct()
-    sets = scratch.write(_sets(docs.select("doc_id", "text").join(read, "doc_id", "left_semi"), k), "sets")
     links = scratch.write(_confirmed(alike, sets, percent), "links")
     comps = scratch.write(connected(links, scratch, "a", "b"), "components")
 
     placed = members.join(comps.withColumnRenamed("node", "w"), F.col("node") == F.col("w"), "left").select("band", "node", "size", F.coalesce("component", "node").alias("comp"))
     mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("band").alias("key"))
     # pairs with a bucket's smallest member have been compared: a bucket of two has no other
-    rest = placed.filter("size > 2").join(mixed, F.col("band") == F.col("key"), "left_semi").join(sigs.withColumnRenamed("node", "w"), F.col("node") == F.col("w")).select("band", "node", "comp", "sig", "size")
-    more = scratch.write(_blocks(rest, least).join(alike, ["a", "b"], "left_anti"), "more")
+    rest = placed.filter("size > 2").join(mixed, F.col("band") == F.col("key"), "left_semi")
+    for payload in (sigs, sets):
+        rest = rest.join(payload.withColumnRenamed("node", "w"), F.col("node") == F.col("w")).drop("w")
+    more = scratch.write(_blocks(rest, least, percent), "more")
     if more.take(1):
-        known = sets.select(F.col("node").alias("doc_id")).distinct()
-        read = more.select(F.col("a").alias("doc_id")).unionByName(more.select(F.col("b").alias("doc_id"))).distinct().join(known, "doc_id", "left_anti")
-        extra = scratch.write(_sets(docs.select("doc_id", "text").join(read, "doc_id", "left_semi"), k), "extra")
-        new = _confirmed(more, sets.unionByName(extra), percent)
         stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        comps = scratch.write(connected(new.unionByName(stars), scratch, "a", "b"), "components")
+        comps = scratch.write(connected(more.unionByName(stars), scratch, "a", "b"), "components")
     scratch.drop(members, sigs, sets)
 
     home = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"))
