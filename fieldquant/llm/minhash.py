@@ -14,7 +14,8 @@
    a bucket are either compared or known to be in one component.
 
 With 24 bands of 6 a pair at a similarity of 0.85 fails to share a bucket with a
-probability of 1.2e-5, at 0.8 of 7e-4 (``bands``/``rows`` are parameters).
+probability of 1.2e-5, with 32 bands of 5 (``representatives``) one at 0.8 with a
+probability of 3e-6; closer pairs far less often.
 """
 
 from __future__ import annotations
@@ -248,8 +249,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     return every.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def representatives(docs: DataFrame, k: int = 5, percent: int = 80, **more) -> DataFrame:
+def representatives(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, **more) -> DataFrame:
     """The rows of docs that near_duplicates() keeps, with docs' columns; of repeated rows of one doc_id, each stays."""
-    found = near_duplicates(docs, k, percent, **more)
+    found = near_duplicates(docs, k, percent, bands, rows, **more)
     kept = found.filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
