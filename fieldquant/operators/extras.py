@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shipping import ship
 from ..sources.fields import tile_keys, with_tiles
 
 
@@ -45,6 +46,7 @@ def tile_variance(df: DataFrame, tile: int, lags: tuple[int, ...]) -> DataFrame:
 
 def bits_of(df: DataFrame, v: str = "v", single: bool = True) -> DataFrame:
     """field_id, i, u: the float's bits as an unsigned number (Arrow reinterprets; Spark has no such cast)."""
+    ship(df.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -62,6 +64,7 @@ def byte_plane(u: Column, k: int) -> Column:
 
 def plane_ratios(bits: DataFrame, width: int = 4, chunk: int = 65_536) -> DataFrame:
     """field_id, plane, ratio: how well zstd packs each byte plane, in chunks."""
+    ship(bits.sparkSession)
 
     def run(t: pa.Table) -> pa.Table:
         import zstandard

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shipping import ship
+
 CHUNK = 4096
 MOST_BITS = 58
 
@@ -60,6 +62,7 @@ def canonical_words(lengths: dict[int, int]) -> dict[int, int]:
 
 def books(hist: DataFrame) -> DataFrame:
     """field_id, code, freq, len, word."""
+    ship(hist.sparkSession)
 
     def run(t: pa.Table) -> pa.Table:
         freq = dict(zip(t.column("code").to_pylist(), t.column("freq").to_pylist()))
@@ -117,6 +120,7 @@ def unpack(payload: bytes, n: int, words: np.ndarray, lens: np.ndarray, symbols:
 
 def encode(df: DataFrame, book: DataFrame, code: str = "code", chunk: int = CHUNK) -> DataFrame:
     """field_id, chunk, n, nbit, payload.  The book has a bounded number of rows a field."""
+    ship(df.sparkSession)
     b = book.select(F.col("field_id").alias("__f"), F.col("code").alias("__c"), "len", "word")
     d = df.join(b, (F.col("field_id") == F.col("__f")) & (F.col(code) == F.col("__c"))).select("field_id", "i", "len", "word", F.floor(F.col("i") / chunk).alias("chunk"))
 
@@ -137,6 +141,7 @@ def entries(chunks: DataFrame) -> DataFrame:
 
 def decode(chunks: DataFrame, book: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """field_id, i, code; indices of a field are dense from 0.  A chunk meets its field's book as one row."""
+    ship(chunks.sparkSession)
     rows = book.groupBy("field_id").agg(F.sort_array(F.collect_list(F.struct("code", "len", "word"))).alias("book")).withColumnRenamed("field_id", "__f")
     both = chunks.select("field_id", "chunk", "n", "payload").join(rows, F.col("field_id") == F.col("__f")).drop("__f")
 

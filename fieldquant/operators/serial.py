@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from ..sources.fields import tile_keys, with_tiles
 
 
@@ -38,6 +39,7 @@ def rebuild_tiles(codes: np.ndarray, kept: np.ndarray, eb: np.ndarray, radius: i
 
 def blocked_round_trip(df: DataFrame, tile: int = 256, radius: int = 512) -> DataFrame:
     """field_id, i, code, v, xv of a field of one dimension with eb: quantized and rebuilt."""
+    ship(df.sparkSession)
     t = with_tiles(df, (tile,)).groupBy(*tile_keys((tile,)), "eb").agg(F.sort_array(F.collect_list(F.struct("i", F.col("v").cast("double").alias("v")))).alias("a"))
 
     def run(batches):

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from ..sources.fields import Shape
 
 STEP = 8
@@ -84,6 +85,7 @@ def rebuild_block(anchors: np.ndarray, codes: np.ndarray, kept: np.ndarray, eb:
 
 def round_trip(df: DataFrame, shape: Shape, eb: float, radius: int = 512) -> DataFrame:
     """field_id, i, v, code, xv.  A point goes to its block and, on a block's first plane, to the blocks before."""
+    ship(df.sparkSession)
     v = df.select("field_id", "i", "x", "y", "z", F.col("v").cast("double").alias("v"))
     for axis, size in zip("xyz", BLOCK):
         own = F.floor(F.col(axis) / size).cast("int")

@@ -1,6 +1,6 @@
 """Headerless binary files of numbers as a data source of byte ranges.
 
-    spark.dataSource.register(RawBinarySource)
+    register(spark)
     spark.read.format("rawbinary").option("dtype", "f4").load(path)          # (i, v)
     df.write.format("rawbinary").option("dtype", "f4").mode("append").save(folder)
 
@@ -14,8 +14,11 @@ import os
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from ..shipping import ship
+
 WIDTH = {"f4": 4, "f8": 8}
 RANGE_BYTES = 64 << 20
 
@@ -93,3 +96,9 @@ class RawBinarySource(DataSource):
 
     def writer(self, schema, overwrite):
         return _Writer(dict(self.options))
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the format known to a session and its code to the executors."""
+    ship(spark)
+    spark.dataSource.register(RawBinarySource)

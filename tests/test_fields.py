@@ -168,9 +168,9 @@ def test_extras(spark):
 def test_raw_binary(spark, tmp_path):
     import numpy as np
 
-    from fieldquant.sources.rawbinary import RawBinarySource
+    from fieldquant.sources.rawbinary import register
 
-    spark.dataSource.register(RawBinarySource)
+    register(spark)
     v = np.arange(1000, dtype="<f4") / 3
     v.tofile(tmp_path / "raw.bin")
     df = spark.read.format("rawbinary").option("dtype", "f4").option("rangebytes", "900").load(str(tmp_path / "raw.bin"))
