@@ -3,7 +3,7 @@
 * ``Scratch`` keeps intermediate tables in the folder that the cluster names in
   ``spark.checkpoint.dir`` (every executor sees it), so a lost executor costs a
   re-read, never a recomputation of the whole lineage.
-* ``ship`` sends the package to the executors, once per Spark context.
+* ``ship`` sends the package to the executors, once for a Spark context.
 * ``words_of`` / ``slices`` are the Arrow kernels used inside ``mapInArrow``.
 """
 
@@ -12,7 +12,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship as ship
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,25 +45,6 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(blanks, F.lit("[^ ]+")).cast("bigint")
 
 
-def ship(spark: SparkSession) -> None:
-    """Adds the package to the executors' path (idempotent for a context)."""
-    sc = spark.sparkContext
-    if getattr(sc, "_fieldquant_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    package = os.path.join(root, "fieldquant")
-    folder = tempfile.mkdtemp(prefix="fieldquant-")
-    to = os.path.join(os.path.realpath(folder), "fieldquant_code.zip")
-    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
-        for d, _, names in os.walk(package):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    full = os.path.join(d, n)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(to)
-    sc._fieldquant_shipped = True
-
-
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of our own only where it is unset."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
