@@ -1,7 +1,7 @@
 """Chat formatting with collapse of cumulative snapshots; DataFrame functions only.
 
 A log often holds a conversation once for each turn that was added.  Every turn
-extends a rolling hash of the turns up to it (sums of three 44-bit lanes of
+extends a rolling hash of the turns up to it (sums of three 36-bit lanes of
 position-dependent hashes, so a prefix's hash is a running sum).  The hashes of
 all proper prefixes, made distinct before they are dealt, remove by an anti-join
 each conversation that is a prefix of a longer one; of equal conversations the
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_LANE = (1 << 44) - 1
+_LANE = (1 << 36) - 1  # so that a sum of 2^27 turns fits
 LANES = ("p0", "p1", "p2")
 
 

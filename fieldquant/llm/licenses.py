@@ -57,6 +57,8 @@ RULES: list[tuple[str, tuple[int, ...]]] = [
     ("CC-BY-SA-4.0", (42,)),
     ("MPL-2.0", (50,)),
 ]
+#: A sentence ends at a stop after two characters at least ("v. 2.0" goes on).
+STOP = r"([^ \n][^ \n][.!?])\s+"
 #: Every known sentence holds one of these, so a text with none is not cut at all.
 MARKS = "licen[sc]e|licensed|permission|warranty|redistribut|free software"
 
@@ -77,7 +79,7 @@ def _normalised(s: Column) -> Column:
 
 def _identifiers(text: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in known().items() for x in kv])
-    cut = F.split(F.regexp_replace(text, r"([.!?;:])\s+", "$1\n"), "\n")
+    cut = F.split(F.regexp_replace(text, STOP, "$1\n"), "\n")
     ids = F.transform(cut, lambda s: F.try_element_at(table, _normalised(s)))
     return F.filter(ids, lambda i: i.isNotNull())
 
@@ -115,7 +117,7 @@ def oracle() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     sentences = ", ".join(f"({q(s)}, {i})" for s, i in known().items())
     norm = "trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]', ' ', 'g'), ' +', ' ', 'g'), ' .')"
-    cuts = "string_split(regexp_replace({}, '([.!?;:])\\s+', '\\1' || chr(10), 'g'), chr(10))"
+    cuts = "string_split(regexp_replace({}, '([^ \\n][^ \\n][.!?])\\s+', '\\1' || chr(10), 'g'), chr(10))"
     wrapped = "regexp_replace(regexp_replace(text, '\\n\\s*\\n', '.' || chr(10) || chr(10), 'g'), '([^\\n.])\\n([^\\n])', '\\1 \\2', 'g')"
     steps, prev = [], "base"
     for k, (name, run) in enumerate(RULES):

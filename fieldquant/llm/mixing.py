@@ -132,10 +132,11 @@ def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 
     def fold(acc: Column, x: Column) -> Column:
         size, n = x["size"], x["n"]
-        ceil = F.when(x["want"] > 0, n).otherwise(F.lit(0).cast("bigint"))
-        extra = F.greatest(F.lit(0).cast("bigint"), F.least(ceil, F.round(x["want"] + acc["carry"] / size).cast("bigint")))
+        extra = F.greatest(-x["base"] * n, F.least((CAP - x["base"]) * n, F.round(x["want"] + acc["carry"] / size).cast("bigint")))
         carry = acc["carry"] + size * (x["want"] - extra)
-        one = F.struct(size.alias("size"), n.alias("n"), x["base"].alias("base"), extra.alias("extra"))
+        # beyond one copy a document, all documents get whole copies more or fewer
+        whole = F.floor(extra / n).cast("bigint")
+        one = F.struct(size.alias("size"), n.alias("n"), (x["base"] + whole).alias("base"), (extra - whole * n).alias("extra"))
         return F.struct(carry.alias("carry"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     few = few.select("sk", F.inline(F.aggregate("all", start, fold, lambda a: a["out"])))
