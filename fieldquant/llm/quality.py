@@ -172,9 +172,10 @@ def _invert(moments: DataFrame) -> DataFrame:
     return moments.mapInPandas(run, _PARAMS)
 
 
-def _start(members: DataFrame) -> DataFrame:
+def _start(members: DataFrame, scratch: Scratch) -> DataFrame:
     """Coordinate-wise medians and median absolute deviations."""
     med = members.groupBy("gk").agg(*[F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(X)])
+    med = scratch.write(med, "medians")
     away = members.join(med.withColumnRenamed("gk", "__pk"), F.col("gk") == F.col("__pk"))
     mad = away.groupBy("gk", *[f"m{i}" for i in range(D)]).agg(*[F.percentile(F.abs(F.col(x) - F.col(f"m{i}")), F.lit(0.5)).alias(f"d{i}") for i, x in enumerate(X)])
     cols = [(F.col(f"m{i}") / GRID).alias(f"m{i}") for i in range(D)]
@@ -201,11 +202,12 @@ def fit(stats: DataFrame, scratch: Scratch, prefix: str = "") -> tuple[DataFrame
     """(groups, params) of a table with lang, source, counts and coordinates."""
     groups = scratch.write(grouped(stats, prefix), "groups")
     members = with_group(stats.filter(~base_failed(prefix)), groups).filter(F.col("gk").isNotNull()).select("gk", *X)
-    params = scratch.write(_start(members), "start")
+    params = scratch.write(_start(members, scratch), "start")
     for _ in range(STEPS):
         near = _distance(members, params).withColumn("b", _bin(F.col("d2")))
         # the quantile's own bin belongs to the nearer part: at least SHARE of the group
         edge = near.groupBy("gk").agg(F.ceil(F.percentile("b", F.lit(SHARE))).alias("edge"))
+        edge = scratch.write(edge, "edges")  # one row a group, of known size: the members aren't dealt by group to meet it
         part = near.join(edge.withColumnRenamed("gk", "__pk"), F.col("gk") == F.col("__pk")).filter(F.col("b") <= F.col("edge"))
         sums = part.groupBy("gk").agg(
             F.count("*").alias("n"),
