@@ -25,6 +25,8 @@ from pyspark.sql.window import Window
 from .common import Scratch, filled, mix64, one_array, ship, slices, words_of
 
 LEAST = 100
+#: Tables of one row a group are broadcast up to this many groups, and joined by shuffle beyond.
+BROADCAST_GROUPS = 20_000
 STEPS = 4
 SHARE = 0.75
 #: chi-square of 4 degrees of freedom: beyond it one of 1e6 normal points.
@@ -133,10 +135,15 @@ def _key(*cols: Column) -> Column:
     return F.concat_ws("|", *[F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string"))) for c in cols])
 
 
-def _distance(stats: DataFrame, params: DataFrame) -> DataFrame:
+def _sent(few: DataFrame, like: DataFrame) -> DataFrame:
+    """few, to be broadcast if like (a written table with at least as many rows) is small."""
+    return F.broadcast(few) if like.count() <= BROADCAST_GROUPS else few
+
+
+def _distance(stats: DataFrame, params: DataFrame, groups: DataFrame) -> DataFrame:
     """stats with the squared distance d2 of each row from its group's estimate; null without one."""
     p = params.withColumnRenamed("gk", "__pk")
-    joined = stats.join(p, stats["gk"] == p["__pk"], "left").drop("__pk")
+    joined = stats.join(_sent(p, groups), stats["gk"] == p["__pk"], "left").drop("__pk")
     z = [F.col(X[i]) / float(GRID) - F.col(f"m{i}") for i in range(D)]
     d2 = sum((z[i] * z[j] * F.col(f"a{i}{j}") * (1.0 if i == j else 2.0) for i, j in PAIRS), F.lit(0.0))
     return joined.withColumn("d2", F.greatest(d2, F.lit(0.0))).drop(*[f"m{i}" for i in range(D)], *[f"a{i}{j}" for i, j in PAIRS])
@@ -172,11 +179,11 @@ def _invert(moments: DataFrame) -> DataFrame:
     return moments.mapInPandas(run, _PARAMS)
 
 
-def _start(members: DataFrame, scratch: Scratch) -> DataFrame:
+def _start(members: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     """Coordinate-wise medians and median absolute deviations."""
     med = members.groupBy("gk").agg(*[F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(X)])
     med = scratch.write(med, "medians")
-    away = members.join(med.withColumnRenamed("gk", "__pk"), F.col("gk") == F.col("__pk"))
+    away = members.join(_sent(med.withColumnRenamed("gk", "__pk"), groups), F.col("gk") == F.col("__pk"))
     mad = away.groupBy("gk", *[f"m{i}" for i in range(D)]).agg(*[F.percentile(F.abs(F.col(x) - F.col(f"m{i}")), F.lit(0.5)).alias(f"d{i}") for i, x in enumerate(X)])
     cols = [(F.col(f"m{i}") / GRID).alias(f"m{i}") for i in range(D)]
     inv = [(1.0 / (F.pow(F.col(f"d{i}") * 1.4826 / GRID, 2) + FLOOR[i] ** 2) if i == j else F.lit(0.0)).alias(f"a{i}{j}") for i, j in PAIRS]
@@ -202,13 +209,13 @@ def fit(stats: DataFrame, scratch: Scratch, prefix: str = "") -> tuple[DataFrame
     """(groups, params) of a table with lang, source, counts and coordinates."""
     groups = scratch.write(grouped(stats, prefix), "groups")
     members = with_group(stats.filter(~base_failed(prefix)), groups).filter(F.col("gk").isNotNull()).select("gk", *X)
-    params = scratch.write(_start(members, scratch), "start")
+    params = scratch.write(_start(members, groups, scratch), "start")
     for _ in range(STEPS):
-        near = _distance(members, params).withColumn("b", _bin(F.col("d2")))
+        near = _distance(members, params, groups).withColumn("b", _bin(F.col("d2")))
         # the quantile's own bin belongs to the nearer part: at least SHARE of the group
         edge = near.groupBy("gk").agg(F.ceil(F.percentile("b", F.lit(SHARE))).alias("edge"))
         edge = scratch.write(edge, "edges")  # one row a group, of known size: the members aren't dealt by group to meet it
-        part = near.join(edge.withColumnRenamed("gk", "__pk"), F.col("gk") == F.col("__pk")).filter(F.col("b") <= F.col("edge"))
+        part = near.join(_sent(edge.withColumnRenamed("gk", "__pk"), groups), F.col("gk") == F.col("__pk")).filter(F.col("b") <= F.col("edge"))
         sums = part.groupBy("gk").agg(
             F.count("*").alias("n"),
             *[F.sum(X[i]).alias(f"s{i}") for i in range(D)],
@@ -216,7 +223,7 @@ def fit(stats: DataFrame, scratch: Scratch, prefix: str = "") -> tuple[DataFrame
         )
         params = scratch.write(_invert(sums), "params")
     # made consistent: the median distance is that of the normal distribution, never less strict than the floor allows
-    mid = _distance(members, params).groupBy("gk").agg(F.percentile(_bin(F.col("d2")), F.lit(0.5)).alias("b"))
+    mid = _distance(members, params, groups).groupBy("gk").agg(F.percentile(_bin(F.col("d2")), F.lit(0.5)).alias("b"))
     scale = F.greatest(F.lit(1.0), F.expm1((F.col("b") + 1) / 128.0) / MEDIAN)
     p = params.join(mid.withColumnRenamed("gk", "__pk"), F.col("gk") == F.col("__pk"))
     params = scratch.write(p.select("gk", *[f"m{i}" for i in range(D)], *[(F.col(f"a{i}{j}") / scale).alias(f"a{i}{j}") for i, j in PAIRS]), "final")
@@ -225,12 +232,12 @@ def fit(stats: DataFrame, scratch: Scratch, prefix: str = "") -> tuple[DataFrame
 
 def with_group(stats: DataFrame, groups: DataFrame) -> DataFrame:
     k = _key(F.col("lang"), F.col("source"))
-    return stats.withColumn("__k0", k).join(groups, F.col("__k0") == F.col("__k"), "left").drop("__k", "__k0")
+    return stats.withColumn("__k0", k).join(_sent(groups, groups), F.col("__k0") == F.col("__k"), "left").drop("__k", "__k0")
 
 
 def judged(stats: DataFrame, groups: DataFrame, params: DataFrame, prefix: str = "", kept: str = "kept") -> DataFrame:
     """stats with base_failed, distance (d2; null: no estimate) and the verdict."""
-    out = _distance(with_group(stats, groups), params)
+    out = _distance(with_group(stats, groups), params, groups)
     bad = base_failed(prefix)
     return out.withColumn(f"{prefix}base_failed", bad).withColumn(kept, ~bad & (F.coalesce(F.col("d2"), F.lit(0.0)) <= CUTOFF))
 
