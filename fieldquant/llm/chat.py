@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import Scratch
+
 _LANE = (1 << 36) - 1  # so that a sum of 2^27 turns fits
 LANES = ("p0", "p1", "p2")
 
@@ -32,9 +34,10 @@ def prefixes(turns: DataFrame) -> DataFrame:
     return t.select("conv_id", "k", "n", *lanes)
 
 
-def maximal(turns: DataFrame) -> DataFrame:
+def maximal(turns: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """conv_id, n_turns, copies (equal conversations) of the conversations that are no prefix of a longer one."""
-    p = prefixes(turns)
+    scratch = scratch or Scratch(turns.sparkSession, "chat")
+    p = scratch.write(prefixes(turns), "prefixes")  # numbers only: turns are dealt by conversation once for it
     whole = p.filter("k = n").groupBy("n", *LANES).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
     shorter = p.filter("k < n").groupBy(F.col("k").cast("bigint").alias("n"), *LANES).agg(F.lit(1).alias("one")).drop("one")
     kept = whole.join(shorter, ["n", *LANES], "left_anti")
@@ -47,18 +50,18 @@ def render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, one), "")
 
 
-def formatted(turns: DataFrame) -> DataFrame:
+def formatted(turns: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """conv_id, n_turns, copies, rendered of every maximal conversation.
 
     Turns without a conv_id are one conversation; repeated turns are turns; an
     empty table gives an empty one; further columns are ignored.  A conversation
     is one value of the result, so its turns meet in one task.
     """
-    kept = maximal(turns).withColumnRenamed("conv_id", "kept_id")
-    t = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("x"))
-    t = t.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")))
-    whole = t.groupBy("conv_id", "n_turns", "copies").agg(F.sort_array(F.collect_list("x")).alias("all"))
-    return whole.select("conv_id", "n_turns", "copies", render(F.col("all")).alias("rendered"))
+    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("-"))  # a plain key, so that join and aggregate share one exchange
+    kept = maximal(turns, scratch).select(key.alias("kept_key"), "n_turns", "copies")
+    t = turns.select("conv_id", key.alias("key"), F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("turn"))
+    whole = t.join(kept, F.col("key") == F.col("kept_key")).groupBy("key", "n_turns", "copies").agg(F.min("conv_id").alias("conv_id"), F.sort_array(F.collect_list("turn")).alias("turns"))
+    return whole.select("conv_id", "n_turns", "copies", render(F.col("turns")).alias("rendered"))
 
 
 ORACLE = """
