@@ -387,7 +387,7 @@ def shuffled_blocks(spark, sf):
     return s.groupBy("field_id", F.floor(F.col("i") / 32).alias("tile")).agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"))
 
 
-@query(" UNION ALL ".join("SELECT * FROM (" + _delta(F_EVENTS, eb, ONE) + f" SELECT {eb!r} AS user_eb, count(*) FILTER (code = 0) AS n_outliers, count(DISTINCT code) AS n_codes, count(*) FILTER (d = 0) AS zeros FROM p)" for eb in (0.1, 0.01, 0.001, 0.0001)))
+@query(" UNION ALL ".join("SELECT * FROM (" + _delta(F_EVENTS, eb, ONE) + f" SELECT CAST({eb!r} AS DOUBLE) AS user_eb, count(*) FILTER (code = 0) AS n_outliers, count(DISTINCT code) AS n_codes, count(*) FILTER (d = 0) AS zeros FROM p)" for eb in (0.1, 0.01, 0.001, 0.0001)))
 def multi_eb_sweep(spark, sf):
     # bounds are part of the field's name, so one plan does all of them
     f, bounds = events(spark, sf), (0.1, 0.01, 0.001, 0.0001)
