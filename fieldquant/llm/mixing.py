@@ -105,9 +105,10 @@ def solve(hist: DataFrame, per: DataFrame, scratch: Scratch, most: int = 60) ->
     return state
 
 
-def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(classes, sources): for each (sk, size) the copies of every document (base), the bucket up to which
-    they get one more (upto), how many do in bucket upto (rest); for each sk total and target."""
+def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, sources, sizes): for each (sk, size) the copies of every document (base), the bucket up to which
+    they get one more (upto), how many do in bucket upto (rest); for each sk total and target;
+    doc_id, source, __m_size of every row."""
     sizes = scratch.write(docs.select("doc_id", "source", word_count(F.col("text")).alias("__m_size")), "sizes")
     per = scratch.write(targets(sizes).coalesce(1), "targets")
     bucketed = sizes.filter("__m_size > 0").groupBy(_sk(F.col("source")).alias("sk"), F.col("__m_size").alias("size"), _bucket().alias("bucket")).agg(F.count("*").alias("n"))
@@ -152,8 +153,8 @@ def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     upto = F.coalesce("upto", F.when(F.col("extra") > 0, F.lit(BUCKETS)).otherwise(F.lit(-1)))
     out = out.select("sk", F.col("size").alias("__m_s"), "base", upto.cast("int").alias("upto"), F.coalesce("rest", F.lit(0)).cast("bigint").alias("rest"))
     out = scratch.write(out, "classes")
-    scratch.drop(sizes, bucketed, hist, dual)
-    return out, per
+    scratch.drop(bucketed, hist, dual)
+    return out, per, sizes
 
 
 def _hash() -> Column:
@@ -186,17 +187,16 @@ def mix(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     further columns are ignored.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
-    narrow = docs.select("doc_id", "source", "text")
-    cls, per = classes(narrow, scratch)
-    sized = narrow.select("doc_id", "source", word_count(F.col("text")).alias("__m_size"))
+    cls, per, sizes = classes(docs.select("doc_id", "source", "text"), scratch)
     per = per.select(F.col("sk").alias("__m_sk3"), "total", "target")
-    out = with_copies(sized, cls).join(per, F.col("__m_sk") == F.col("__m_sk3"), "left")
+    out = with_copies(sizes, cls).join(per, F.col("__m_sk") == F.col("__m_sk3"), "left")
     return out.select("doc_id", F.col("__m_size").alias("size"), F.col("total").alias("source_size"), "target", (F.col("__m_size") * F.col("__m_copies")).alias("taken"), F.col("__m_copies").alias("copies"))
 
 
 def mixed(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with docs' columns."""
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
-    cls, _ = classes(docs.select("doc_id", "source", "text"), scratch)
+    cls, _, sizes = classes(docs.select("doc_id", "source", "text"), scratch)
+    scratch.drop(sizes)
     out = with_copies(docs.withColumn("__m_size", word_count(F.col("text"))), cls).filter("__m_copies > 0")
     return out.withColumn("__m_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__m_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
