@@ -191,3 +191,22 @@ def test_stream_of_frames(spark, tmp_path):
     q.awaitTermination(120)
     for n in range(2):
         assert pipeline.decompress(pipeline.read_archive(spark, f"file://{tmp_path}/out/batch={n}")).count() == 200
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import numpy as np
+
+    from fieldquant.__main__ import main
+
+    v = (np.sin(np.arange(1200) / 30) * 10).astype("<f4")
+    v.tofile(tmp_path / "f.bin")
+    main(["compress", str(tmp_path / "f.bin"), f"file://{tmp_path}/a", "--dtype", "f4", "--shape", "30x40", "--eb", "1e-3"], spark)
+    main(["decompress", f"file://{tmp_path}/a", str(tmp_path / "back"), "--dtype", "f4", "--compare", str(tmp_path / "f.bin")], spark)
+    main(["analyze", str(tmp_path / "f.bin"), "--dtype", "f4", "--eb", "1e-2"], spark)
+    said = capsys.readouterr().out
+    assert "ratio" in said and "psnr" in said and "freq" in said
+    parts = sorted((tmp_path / "back").glob("part-*"), key=lambda p: p.name)
+    got = np.concatenate([np.fromfile(p, "<f4") for p in parts])
+    assert len(got) == 1200 and np.abs(got - v).max() <= 1.001 * 1e-3 * float(v.max() - v.min())
+    with pytest.raises(SystemExit):
+        main(["expand", "x"], spark)
