@@ -6,8 +6,9 @@ sentences.  The identifiers found, in order, are matched against ordered rules:
 a rule that matches a run of identifiers consumes it, so a full licence is not
 also reported by its short notice.
 
-Texts are cut at line ends and, a second time, with single line ends as blanks
-(for wrapped notices); the cut that knows more sentences counts.
+Texts are cut into sentences with single line ends as blanks (for wrapped
+notices), and each sentence a second time at its line ends; for each sentence the
+cut that knows more counts, its lines if both know as many.
 """
 
 from __future__ import annotations
@@ -57,8 +58,10 @@ RULES: list[tuple[str, tuple[int, ...]]] = [
     ("CC-BY-SA-4.0", (42,)),
     ("MPL-2.0", (50,)),
 ]
+#: A single line end, while sentences are cut.
+LINE = "\ue000"
 #: A sentence ends at a stop after two characters at least ("v. 2.0" goes on).
-STOP = r"([^ \n][^ \n][.!?])\s+"
+STOP = rf"([^ \n{LINE}][^ \n{LINE}][.!?])[\s{LINE}]+"
 #: Every known sentence holds one of these, so a text with none is not cut at all.
 MARKS = "licen[sc]e|licensed|permission|warranty|redistribut|free software"
 
@@ -78,10 +81,16 @@ def _normalised(s: Column) -> Column:
 
 
 def _identifiers(text: Column) -> Column:
+    """Known sentences in the order of the text, wrapped ones and those on lines of their own."""
     table = F.create_map(*[F.lit(x) for kv in known().items() for x in kv])
+    text = F.translate(text, LINE, "\ue001")
+    text = F.regexp_replace(F.regexp_replace(text, r"\n\s*\n", ".\n\n"), r"([^\n.])\n(?=[^\n])", f"$1{LINE}")
     cut = F.split(F.regexp_replace(text, STOP, "$1\n"), "\n")
-    ids = F.transform(cut, lambda s: F.try_element_at(table, _normalised(s)))
-    return F.filter(ids, lambda i: i.isNotNull())
+    # a sentence first, then its lines if it has several
+    forms = F.transform(cut, lambda s: F.concat(F.array(s), F.when(F.contains(s, F.lit(LINE)), F.split(s, LINE)).otherwise(F.expr("array()").cast("array<string>"))))
+    ids = F.transform(forms, lambda f: F.transform(f, lambda s: F.try_element_at(table, _normalised(s))))
+    lines = lambda i: F.filter(F.slice(i, 2, F.size(i)), lambda x: x.isNotNull())
+    return F.flatten(F.transform(ids, lambda i: F.when(F.size(lines(i)) > 0, lines(i)).otherwise(F.filter(F.slice(i, 1, 1), lambda x: x.isNotNull()))))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -93,11 +102,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     marked = F.lower(text).rlike(MARKS)
-    lines = F.when(marked, _identifiers(text))
-    wrapped = F.when(marked, _identifiers(F.regexp_replace(F.regexp_replace(text, r"\n\s*\n", ".\n\n"), r"([^\n.])\n(?=[^\n])", "$1 ")))
-    d = docs.select("doc_id", lines.alias("a"), wrapped.alias("b"))
-    best = F.coalesce(F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")), F.expr("array()").cast("array<int>"))
-    d = d.select("doc_id", best.alias("ids"))
+    ids = F.coalesce(F.when(marked, _identifiers(text)), F.expr("array()").cast("array<int>"))
+    d = docs.select("doc_id", ids.alias("ids"))
     left = F.concat(F.lit(","), F.array_join(F.transform("ids", lambda i: F.concat(i.cast("string"), F.lit(","))), ","))
     left = F.when(F.size("ids") > 0, left).otherwise(F.lit(","))
     d = d.select("doc_id", F.size("ids").alias("n_sentences"), left.alias("left"))

@@ -68,3 +68,13 @@ def test_every_known_sentence_is_found_alone_and_wrapped(spark):
     rows = [(2 * k + w, "Before it.\n\n" + (wrapped(s, 30) if w else s) + "\n\nAfter it.") for k, s in enumerate(every) for w in (0, 1)]
     got = {r.doc_id: r.n_sentences for r in licenses.scanned(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert all(n >= 1 for n in got.values()), [every[k // 2] for k, n in got.items() if n < 1]
+
+
+def test_a_notice_on_a_line_and_a_wrapped_one(spark):
+    bsd = "\n\n".join(wrapped(licenses.SENTENCES[k][0]) for k in (30, 31, 32))
+    line = "Copyright 2020 Foo\nLicensed under the MIT License."
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.'
+    rows = [(1, f"{line}\n\n{bsd}"), (2, f"{bsd}\n\n{line}"), (3, f"{line}\n\n{wrapped(licenses.SENTENCES[2][0])}"), (4, f"{apache}\n\n{wrapped(GPL)}"), (5, f"\ue000 a\ue000b\n{line}\n\n{bsd}")]
+    got = {r.doc_id: (r.n_sentences, r.licenses) for r in licenses.scanned(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    both = (4, "BSD-2-Clause,MIT")
+    assert got == {1: both, 2: both, 3: (2, "MIT"), 4: (5, "GPL-3.0-or-later,Apache-2.0"), 5: both}
