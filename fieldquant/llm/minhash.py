@@ -14,7 +14,7 @@
    a bucket are either compared or known to be in one component.
 
 With 24 bands of 6 a pair at a similarity of 0.85 fails to share a bucket with a
-probability of 1.2e-5, with 32 bands of 5 (``representatives``) one at 0.8 with a
+probability of 1.2e-5, with 32 bands of 5 (the defaults) one at 0.8 with a
 probability of 3e-6; closer pairs far less often.
 """
 
@@ -196,7 +196,7 @@ def _blocks(rest: DataFrame, least: float, percent: int) -> DataFrame:
     return rest.groupBy("band", "p", "q").applyInArrow(run, f"a {node}, b {node}")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 24, rows: int = 6, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs.
 
     Documents with 100 * intersection >= percent * union of their shingle sets

@@ -35,7 +35,7 @@ def op5_packed_shards(spark, sf_dir):
 
 
 def op6_minhash_near_dups(spark, sf_dir):
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85, bands=24, rows=6)
 
 
 def op7_bpe_round_trip(spark, sf_dir):

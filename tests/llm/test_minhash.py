@@ -124,3 +124,12 @@ def test_components(spark):
     got = {r.node: r.component for r in connected(df, Scratch(spark, "test"), "a", "b").collect()}
     assert got == {x: root(x) for x in up}
     assert connected(df.filter("a = 5 and b = 5"), Scratch(spark, "test"), "a", "b").collect() == []
+
+
+def test_defaults_go_together():
+    """A pair at the default threshold is missed with a probability below 1e-5."""
+    import inspect
+
+    for f in (minhash.near_duplicates, minhash.representatives):
+        d = {k: p.default for k, p in inspect.signature(f).parameters.items()}
+        assert (1 - (d["percent"] / 100) ** d["rows"]) ** d["bands"] < 1e-5
