@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import filled, one_array, ship, slices
+from .common import HELD, filled, one_array, resting, ship, slices
 
 _NONE = np.int64(1) << np.int64(60)
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
@@ -212,7 +212,7 @@ class Codec:
         return got, out
 
     #: Words whose tokens a worker remembers; beyond it words are encoded anew each time.
-    KNOWN = 400_000
+    KNOWN = 200_000
 
     def _propose(self, data, offsets):
         """Greedy longest match, one token a word and round."""
@@ -423,7 +423,9 @@ def valid_text(raw: bytes) -> bytes:
     return raw.decode("utf-8", "replace").encode()
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[str, Codec] = HELD.setdefault("bpe", {})
+#: Bytes of text that are encoded at a time: longer stretches repeat more words.
+SLICE = 2 << 20
 
 
 def codec_of(spec) -> Codec:
@@ -451,13 +453,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", id_
     def run(batches):
         codec = codec_of(spec)
         for big in batches:
-            for b in slices(big, text):
+            for b in slices(big, text, SLICE):
                 got, bounds = codec.encode_batch(one_array(b.column(text)))
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(got.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), lists], names=[*keep, ids])
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return docs.select(*keep, text).mapInArrow(run, ", ".join([*fields, f"`{ids}` array<int>"]))
+    return docs.select(*keep, text).mapInArrow(resting(run, "bpe"), ", ".join([*fields, f"`{ids}` array<int>"]))
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "text", id_col: str | None = "doc_id") -> DataFrame:
@@ -474,7 +476,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "text", i
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out, pa.string())], names=[*keep, text])
 
     fields = [f"`{c}` {tokens.schema[c].dataType.simpleString()}" for c in keep]
-    return tokens.select(*keep, ids).mapInArrow(run, ", ".join([*fields, f"`{text}` string"]))
+    return tokens.select(*keep, ids).mapInArrow(resting(run, "bpe"), ", ".join([*fields, f"`{text}` string"]))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -488,7 +490,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         codec = codec_of(spec)
         for big in batches:
-            for b in slices(big):
+            for b in slices(big, most=SLICE):
                 ids, bounds = codec.encode_batch(one_array(b.column("text")))
                 digits, d_at = codec.digits(ids)
                 plain, p_at = codec.decode_batch(ids)
@@ -500,4 +502,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(resting(run, "bpe"), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -57,7 +57,8 @@ def formatted(turns: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     empty table gives an empty one; further columns are ignored.  A conversation
     is one value of the result, so its turns meet in one task.
     """
-    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("-"))  # a plain key, so that join and aggregate share one exchange
+    # a plain key, so that join and aggregate share one exchange; no id has the null one's
+    key = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("-"))
     kept = maximal(turns, scratch).select(key.alias("kept_key"), "n_turns", "copies")
     t = turns.select("conv_id", key.alias("key"), F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("turn"))
     whole = t.join(kept, F.col("key") == F.col("kept_key")).groupBy("key", "n_turns", "copies").agg(F.min("conv_id").alias("conv_id"), F.sort_array(F.collect_list("turn")).alias("turns"))

@@ -3,12 +3,17 @@
 * ``Scratch`` keeps intermediate tables in the folder that the cluster names in
   ``spark.checkpoint.dir`` (every executor sees it), so a lost executor costs a
   re-read, never a recomputation of the whole lineage.
-* ``ship`` sends the package to the executors, once for a Spark context.
+* ``ship`` sends the package to the executors, once for a Spark context, and
+  bounds the rows of an Arrow batch.
+* ``resting`` wraps a function for ``mapInArrow`` so that an idle Python worker
+  holds little: workers live on and are reused by later stages.
 * ``words_of`` / ``slices`` are the Arrow kernels used inside ``mapInArrow``.
 """
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -19,13 +24,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship as ship
+from ..shipping import ship as ship_package
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch at most: whole texts travel in them, and JVM and Python hold a batch each.
+BATCH_ROWS = 1000
+_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def ship(spark: SparkSession) -> None:
+    """The package to the executors; batches of the session are made smaller if they may hold more than BATCH_ROWS rows."""
+    ship_package(spark)
+    rows = int(spark.conf.get(_ROWS_CONF, "10000"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(_ROWS_CONF, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,9 +62,11 @@ def word_count(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir; a folder of our own only where it is unset and driver and executors are one machine."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset: executors need a shared folder for intermediate tables")
         d = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="fieldquant-shared-"))
         spark.sparkContext.setCheckpointDir(d)
     return d
@@ -84,8 +102,51 @@ class Scratch:
                 self._fs.delete(self._path(at), True)
 
 
+class Names:
+    """Column names of an operator's own: further columns travel as u0, u1, ... and come back under their names."""
+
+    def __init__(self, docs: DataFrame, needed: tuple[str, ...] = ("doc_id", "text", "lang", "source")):
+        self.old = docs.columns
+        self.new = [c if c in needed else f"u{k}" for k, c in enumerate(self.old)]
+        self.docs = docs.toDF(*self.new)
+
+    def back(self, df: DataFrame) -> DataFrame:
+        return df.select(*self.new).toDF(*self.old)
+
+
 # ---------------------------------------------------------------- Arrow kernels
 
+#: Tables that a worker keeps between tasks, by operator.
+HELD: dict[str, dict] = {}
+
+
+def release() -> None:
+    """Gives the freed memory of this Python worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def drop_held(but: str) -> None:
+    """Forgets the tables of all operators but one (a function of the module: the worker's own HELD is meant)."""
+    for name, held in HELD.items():
+        if name != but:
+            held.clear()
+
+
+def resting(run, holds: str = ""):
+    """run for mapInArrow; tables that other operators hold go first, and freed memory is given back at the end."""
+
+    @functools.wraps(run)
+    def go(batches):
+        drop_held(holds)
+        yield from run(batches)
+        release()
+
+    return go
+
 
 def one_array(col) -> pa.Array:
     """A chunked or plain column as one contiguous array."""
@@ -94,7 +155,7 @@ def one_array(col) -> pa.Array:
     return col
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 20):
     """Row ranges of a batch with at most ``most`` bytes of text (one row at least)."""
     n = batch.num_rows
     if not n:

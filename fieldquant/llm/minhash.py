@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, filled, hash_words, mix64, one_array, ship, slices, words_of
+from .common import Names, Scratch, filled, hash_words, mix64, one_array, resting, ship, slices, words_of
 from .components import connected
 
 #: Members of a block in step 4.
@@ -107,7 +107,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, h1 bigint, h2 bigint, sig binary, bands array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(resting(run), f"doc_id {kind}, n bigint, h1 bigint, h2 bigint, sig binary, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -120,7 +120,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["node", "shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"node {kind}, shingles array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(resting(run), f"node {kind}, shingles array<bigint>")
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -138,7 +138,7 @@ def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x.column("a").filter(ok), x.column("b").filter(ok)], names=["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return both.mapInArrow(resting(run), f"a {kind}, b {kind}")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -253,4 +253,5 @@ def representatives(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     """The rows of docs that near_duplicates() keeps, with docs' columns; of repeated rows of one doc_id, each stays."""
     found = near_duplicates(docs, k, percent, bands, rows, **more)
     kept = found.filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
+    names = Names(docs)
+    return names.back(names.docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, word_count
+from .common import Names, Scratch, word_count
 
 CAP = 3
 UNIT = 1_000_000_000
@@ -196,7 +196,8 @@ def mix(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 def mixed(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with docs' columns."""
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
+    names = Names(docs)
     cls, _, sizes = classes(docs.select("doc_id", "source", "text"), scratch)
     scratch.drop(sizes)
-    out = with_copies(docs.withColumn("__m_size", word_count(F.col("text"))), cls).filter("__m_copies > 0")
-    return out.withColumn("__m_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__m_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = with_copies(names.docs.withColumn("__m_size", word_count(F.col("text"))), cls).filter("__m_copies > 0")
+    return names.back(out.withColumn("__m_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__m_copies")))))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, filled, mix64, one_array, ship, slices, words_of
+from .common import Names, Scratch, filled, mix64, one_array, resting, ship, slices, words_of
 
 LEAST = 100
 #: Tables of one row a group are broadcast up to this many groups, and joined by shuffle beyond.
@@ -122,7 +122,7 @@ def with_counts(docs: DataFrame, prefix: str = "", keep: list[str] | None = None
 
     src = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if not (drop_text and f.name == "text")]
-    return src.mapInArrow(run, ", ".join(fields + [f"`{prefix}{k}` bigint" for k in COUNTS] + [f"{x} bigint" for x in X]))
+    return src.mapInArrow(resting(run), ", ".join(fields + [f"`{prefix}{k}` bigint" for k in COUNTS] + [f"{x} bigint" for x in X]))
 
 
 def base_failed(prefix: str = "") -> Column:
@@ -260,11 +260,12 @@ def accepted(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The rows of docs that are kept, with docs' columns.
 
     The estimates are fitted on a narrow table of counts; texts are read again
-    for the verdict and never shuffled.  Column names that clash with the
-    operator's own are safe: it works under names of its own.
+    for the verdict and never shuffled.  Further columns travel under other
+    names, so none can clash with the operator's own.
     """
     scratch = scratch or Scratch(docs.sparkSession, "quality")
-    stats = scratch.write(with_counts(docs, prefix="__q_", keep=["lang", "source"]), "stats")
+    names = Names(docs)
+    stats = scratch.write(with_counts(names.docs, prefix="__q_", keep=["lang", "source"]), "stats")
     groups, params = fit(stats, scratch, prefix="__q_")
-    out = judged(with_counts(docs, prefix="__q_"), groups, params, prefix="__q_", kept="__q_kept")
-    return out.filter("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = judged(with_counts(names.docs, prefix="__q_"), groups, params, prefix="__q_", kept="__q_kept")
+    return names.back(out.filter("__q_kept"))

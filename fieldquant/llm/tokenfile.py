@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import broadcast_spec, codec_of
-from .common import Scratch, one_array, slices
+from .bpe import SLICE, broadcast_spec, codec_of
+from .common import Scratch, one_array, resting, slices
 
 #: Ids in a block, but that a document is never split between blocks.
 BLOCK_IDS = 1 << 18
@@ -79,7 +79,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         wide = width(size)
         counts = np.zeros(size, np.int64)
         for big in batches:
-            for b in slices(big, most=8 << 20):
+            for b in slices(big, most=SLICE):
                 ids, bounds = codec.encode_batch(one_array(b.column("text")))
                 ids = np.insert(ids, bounds[1:], end_id)
                 bounds = bounds + np.arange(len(bounds))
@@ -95,7 +95,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(docs.schema["doc_id"].dataType)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {sql}, ids binary, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(resting(run, "bpe"), f"doc_id {sql}, ids binary, counts binary")
 
 
 def _frequencies(encoded: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def _frequencies(encoded: DataFrame) -> DataFrame:
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["id", "n"])
 
-    return encoded.filter(F.col("counts").isNotNull()).select("counts").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.filter(F.col("counts").isNotNull()).select("counts").mapInArrow(resting(run), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 class TokenFile:
@@ -150,7 +150,7 @@ class TokenFile:
 
         names = ["doc_id", "start", "n_tokens", "ids" if whole else "ids_crc32"]
         sql = self.blocks.schema["doc_ids"].dataType.elementType.simpleString()
-        return self.blocks.mapInArrow(run, f"doc_id {sql}, start bigint, n_tokens bigint, {names[3]} {'binary' if whole else 'bigint'}")
+        return self.blocks.mapInArrow(resting(run), f"doc_id {sql}, start bigint, n_tokens bigint, {names[3]} {'binary' if whole else 'bigint'}")
 
 
 def write(docs: DataFrame, path: str, scratch: Scratch, end_id: int = 0) -> TokenFile:
@@ -204,7 +204,7 @@ def write(docs: DataFrame, path: str, scratch: Scratch, end_id: int = 0) -> Toke
     sql = docs.schema["doc_id"].dataType.simpleString()
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(to_arrow_type(docs.schema["doc_id"].dataType))), ("lens", pa.list_(pa.int32())), ("ctrl", pa.binary()), ("data", pa.binary())])
     ordered = encoded.filter(F.col("counts").isNull()).select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    blocks = ordered.mapInArrow(run, f"part int, block int, start bigint, n bigint, doc_ids array<{sql}>, lens array<int>, ctrl binary, data binary")
+    blocks = ordered.mapInArrow(resting(run), f"part int, block int, start bigint, n bigint, doc_ids array<{sql}>, lens array<int>, ctrl binary, data binary")
     out = TokenFile(scratch.write(blocks, "blocks", codec="snappy"), ranks)
     scratch.drop(encoded)
     return out

@@ -31,7 +31,7 @@ def awkward():
 
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-CLASH = {"size": "'x'", "n": "7", "counts": "cast(null as binary)", "band": "1", "component_id": "2", "kept": "'no'", "copies": "0", "held": "true", "chunk": "3", "n_words": "-1", "shard": "'s'", "taken": "4", "cell": "5", "word": "'w'", "key": "null", "bucket": "6"}
+CLASH = {"size": "'x'", "n": "7", "counts": "cast(null as binary)", "band": "1", "component_id": "2", "kept": "'no'", "copies": "0", "held": "true", "chunk": "3", "n_words": "-1", "shard": "'s'", "taken": "4", "cell": "5", "word": "'w'", "key": "null", "bucket": "6", "gk": "'g'", "m0": "1.5", "a00": "'a'", "d2": "9", "sk": "'k'", "__m_size": "3", "__q_kept": "false", "__kept_id": "1", "u0": "8"}
 
 
 @pytest.fixture(scope="session")

@@ -46,3 +46,10 @@ def test_awkward_turns(spark):
 def test_empty_and_nothing_but_null_ids(spark):
     check(spark, [])
     check(spark, [(None, 1, None, None), (None, 0, None, None)])
+
+
+def test_the_null_id_is_no_string_id(spark):
+    rows = [(None, 0, "a", "null's"), ("-", 0, "a", "dash's"), ("c-", 0, "a", "other"), (None, 1, "a", "more")]
+    df = spark.createDataFrame(rows, "conv_id string, turn bigint, role string, text string")
+    got = {r.conv_id: (r.n_turns, r.rendered.count("<|im_start|>")) for r in chat.formatted(df).collect()}
+    assert got == {None: (2, 2), "-": (1, 1), "c-": (1, 1)}
