@@ -41,10 +41,10 @@ def connected(edges: DataFrame, scratch: Scratch, u: str = "u", v: str = "v") ->
     """
     e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u is not null and v is not null and u <> v")
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = scratch.write(e, "edges")
+    e = scratch.write(e, "edges", narrow=True)
     before = _mark(e)
     while before[0]:
-        new = scratch.write(_small(_large(e)), "stars")
+        new = scratch.write(_small(_large(e)), "stars", narrow=True)
         scratch.drop(e)
         e, now = new, _mark(new)
         if now == before:

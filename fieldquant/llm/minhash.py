@@ -214,21 +214,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     full = m.filter("n > 0 and doc_id is not null")
     # one vertex for equal sets: its smallest doc_id; copies meet in a partial aggregate
     by_band = full.select("n", "h1", "h2", "doc_id", F.explode("bands").alias("band")).groupBy("band", "n", "h1", "h2").agg(F.min("doc_id").alias("node")).select("band", "node")
-    by_band = scratch.write(by_band, "bands")
     buckets = by_band.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("least")).filter("size > 1").withColumnRenamed("band", "key")
-    members = scratch.write(by_band.join(buckets, F.col("band") == F.col("key")).select("band", "node", "size", "least"), "members")
-    scratch.drop(by_band)
+    members = scratch.write(by_band.join(buckets, F.col("band") == F.col("key")).select("band", "node", "size", "least"), "members", narrow=True)
     # signatures and full sets of all members of such buckets; by shuffle at any size, the list of members grows with the corpus
-    nodes = scratch.write(members.select("node").distinct(), "nodes")
+    nodes = members.select("node").distinct()
     sigs = full.select(F.col("doc_id").alias("node"), "h1", "sig", "bands").join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node", "h1"])
     sigs = scratch.write(sigs.select("node", "sig", "bands"), "sigs")
     texts = docs.select("doc_id", "text").join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")
     sets = scratch.write(_sets(texts, k), "sets")
 
     pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    alike = scratch.write(_alike(pairs, sigs, least).distinct(), "alike")
-    links = scratch.write(_confirmed(alike, sets, percent), "links")
-    comps = scratch.write(connected(links, scratch, "a", "b"), "components")
+    links = _confirmed(_alike(pairs, sigs, least).distinct(), sets, percent)
+    comps = connected(links, scratch, "a", "b")
 
     placed = members.join(comps.withColumnRenamed("node", "w"), F.col("node") == F.col("w"), "left").select("band", "node", "size", F.coalesce("component", "node").alias("comp"))
     mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("band").alias("key"))
@@ -236,10 +233,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     rest = placed.filter("size > 2").join(mixed, F.col("band") == F.col("key"), "left_semi")
     for payload in (sigs, sets):
         rest = rest.join(payload.withColumnRenamed("node", "w"), F.col("node") == F.col("w")).drop("w")
-    more = scratch.write(_blocks(rest, least, percent), "more")
+    more = scratch.write(_blocks(rest, least, percent), "more", narrow=True)
     if more.take(1):
         stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        comps = scratch.write(connected(more.unionByName(stars), scratch, "a", "b"), "components")
+        comps = connected(more.unionByName(stars), scratch, "a", "b")
     scratch.drop(members, sigs, sets)
 
     home = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"))

@@ -7,9 +7,12 @@ convex dual, one number a source.  Rates depend on source and size only, so the
 Newton iterations run over the table of (source, size, count), not over the
 documents.  All sums are of integers (rates in 1e-9), so reruns agree to the bit.
 
-Rates become copies in two steps.  Within a source, sizes are gone through from
-the largest to the smallest and what rounding leaves is carried on, so the error
-of a source ends at about half a small document.  Within a (source, size) class
+Rates become copies in two steps.  Sizes of a source are taken in bands (each up to
+twice its least).  Within a band, running sums over the sizes, largest first, are
+rounded, but for the band's CARRIERS most frequent sizes and its smallest: these
+are gone through from the largest to the smallest over all bands, and each takes
+what rounding has left so far.  So the error of a source ends at about half a small
+document, by one law at any number of sizes.  Within a (source, size) class
 the documents with the smallest hashes get the extra copy; classes are dealt
 over BUCKETS hash buckets, and only the bucket in which the number is reached
 needs a rank, so a class with a third of all rows is never in one task.
@@ -26,8 +29,8 @@ from .common import Names, Scratch, word_count
 CAP = 3
 UNIT = 1_000_000_000
 BUCKETS = 256
-#: Distinct sizes of a source that are folded one by one; larger sizes are rounded by their running sum.
-FOLD = 4096
+#: Sizes of a band (there are some 40 bands) that take what rounding leaves.
+CARRIERS = 64
 #: Classes that are sent to every executor; beyond it they are joined by shuffle.
 BROADCAST_CLASSES = 200_000
 _DEC = "decimal(38,0)"
@@ -37,8 +40,8 @@ def _sk(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
-def targets(sizes: DataFrame) -> DataFrame:
-    """sk, total, docs, target, weight of each source; sizes: source, __m_size.
+def targets(hist: DataFrame) -> DataFrame:
+    """sk, total, docs, target, weight of each source; hist: sk, size, n.
 
     The weights 1, 2, 3 repeat over the sources by code point, null last.  A
     target above CAP times its source's size is cut there and the excess is
@@ -46,9 +49,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     going through the sources by CAP * total / weight.  The two windows without
     a partition see one row a source.
     """
-    per = sizes.groupBy("source").agg(F.sum("__m_size").alias("total"), F.sum((F.col("__m_size") > 0).cast("bigint")).alias("docs"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    per = per.withColumn("weight", ((rank - 1) % 3 + 1).cast("bigint")).withColumn("sk", _sk(F.col("source")))
+    per = hist.groupBy("sk").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("docs"))
+    rank = F.row_number().over(Window.orderBy(F.col("sk") == "n", "sk"))
+    per = per.withColumn("weight", ((rank - 1) % 3 + 1).cast("bigint"))
     order = Window.orderBy((F.col("total") / F.col("weight")).asc(), "sk")
     before, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     zero = F.lit(0).cast("bigint")
@@ -66,10 +69,12 @@ def _rate(lam: Column, z: Column, full: Column) -> Column:
     return F.when(full, F.lit(float(CAP))).otherwise(F.least(F.lit(float(CAP)), F.exp(F.least(lam * z, F.lit(2.0)))))
 
 
-def solve(hist: DataFrame, per: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
+def solve(hist: DataFrame, per: DataFrame, scratch: Scratch, most: int = 100) -> DataFrame:
     """sk, lam, scale, full of each source: Newton steps on the dual, halving where a step leaves its bracket.
 
-    hist: sk, size, n with size > 0.
+    hist: sk, size, n with size > 0.  A source is solved within a quarter word or
+    what rates in steps of 1e-9 can tell apart; RuntimeError if one isn't after
+    `most` steps.
     """
     least = hist.groupBy("sk").agg(F.min("size").alias("least"))
     s = per.filter("total > 0").join(least, "sk")
@@ -77,7 +82,7 @@ def solve(hist: DataFrame, per: DataFrame, scratch: Scratch, most: int = 60) ->
     z = F.col("least") / F.col("scale")
     up = F.col("target") > F.col("total")
     s = s.select(
-        "sk", "target", "scale", "full", F.lit(0.0).alias("lam"), F.col("full").alias("done"),
+        "sk", "target", "total", "scale", "full", F.lit(0.0).alias("lam"), F.col("full").alias("done"),
         F.when(up, F.lit(0.0)).otherwise(F.ln(F.greatest(F.col("target"), F.lit(1e-9)) / F.col("total")) / z).alias("lo"),
         F.when(up, F.ln(F.lit(float(CAP))) / z).otherwise(F.lit(0.0)).alias("hi"),
     )
@@ -87,61 +92,70 @@ def solve(hist: DataFrame, per: DataFrame, scratch: Scratch, most: int = 60) ->
         r = F.round(_rate(F.col("lam"), z, F.col("full")) * UNIT).cast("bigint")
         words = (F.col("n") * F.col("size")).cast(_DEC)
         slope = F.when(r < CAP * UNIT, words * F.round(z * r).cast(_DEC)).otherwise(F.lit(0).cast(_DEC))
-        keys = ["sk", "target", "scale", "full", "lam", "done", "lo", "hi"]
+        keys = ["sk", "target", "total", "scale", "full", "lam", "done", "lo", "hi"]
         g = hist.join(state, "sk").groupBy(*keys).agg(F.sum(words * r.cast(_DEC)).cast("double").alias("h"), F.sum(slope).cast("double").alias("d"))
         off = F.col("h") / UNIT - F.col("target")
-        done = F.col("done") | (F.abs(off) <= F.greatest(F.lit(0.25), F.col("target") * 1e-9))
+        done = F.col("done") | (F.abs(off) <= F.greatest(F.lit(0.25), F.greatest("target", "total") * 1e-9))
         lo = F.when(off < 0, F.col("lam")).otherwise(F.col("lo"))
         hi = F.when(off > 0, F.col("lam")).otherwise(F.col("hi"))
         g = g.withColumn("off", off).withColumn("now", done).withColumn("lo2", lo).withColumn("hi2", hi)
         step = F.col("lam") - F.try_divide(F.col("off"), F.col("d") / UNIT)
         inside = step.isNotNull() & (step > F.col("lo2")) & (step < F.col("hi2"))
         lam = F.when(F.col("now"), F.col("lam")).when(inside, step).otherwise((F.col("lo2") + F.col("hi2")) / 2)
-        new = scratch.write(g.select("sk", "target", "scale", "full", lam.alias("lam"), F.col("now").alias("done"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi")).coalesce(1), "dual")
+        new = scratch.write(g.select("sk", "target", "total", "scale", "full", lam.alias("lam"), F.col("now").alias("done"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi")).coalesce(1), "dual")
         scratch.drop(state)
         state = new
         if not state.filter(~F.col("done")).take(1):
-            break
-    return state
-
-
-def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(classes, sources, sizes): for each (sk, size) the copies of every document (base), the bucket up to which
-    they get one more (upto), how many do in bucket upto (rest); for each sk total and target;
-    doc_id, source, __m_size of every row."""
-    sizes = scratch.write(docs.select("doc_id", "source", word_count(F.col("text")).alias("__m_size")), "sizes")
-    per = scratch.write(targets(sizes).coalesce(1), "targets")
-    bucketed = sizes.filter("__m_size > 0").groupBy(_sk(F.col("source")).alias("sk"), F.col("__m_size").alias("size"), _bucket().alias("bucket")).agg(F.count("*").alias("n"))
-    bucketed = scratch.write(bucketed, "buckets")
-    hist = scratch.write(bucketed.groupBy("sk", "size").agg(F.sum("n").alias("n")), "sizes-by-source")
+            return state
+    raise RuntimeError(f"the dual of a source isn't solved after {most} steps")
+
+
+def rounded(c: DataFrame) -> DataFrame:
+    """c (sk, size, n, base, want: copies of a class beyond base for each document) with whole extra copies of each class."""
+    c = c.withColumn("band", F.length(F.bin("size")))
+    band = Window.partitionBy("sk", "band")
+    down = band.orderBy(F.col("size").desc())
+    carries = (F.row_number().over(band.orderBy(F.col("n").desc(), "size")) <= CARRIERS) | (F.row_number().over(band.orderBy("size")) == 1)
+    c = c.withColumn("carries", carries).withColumn("plain", F.when(F.col("carries"), F.lit(0.0)).otherwise(F.col("want")))
+    c = c.withColumn("to", F.floor(F.sum("plain").over(down.rowsBetween(Window.unboundedPreceding, 0)) + 0.5))
+    c = c.withColumn("extra", F.col("to") - F.coalesce(F.lag("to").over(down), F.lit(0)))
+    c = c.withColumn("extra", F.when(F.col("carries"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least("extra", "n"))).cast("bigint"))
+    c = c.withColumn("off", (F.col("size") * (F.col("plain") - F.col("extra"))).cast("decimal(38,6)"))
+    one = F.when(F.col("carries"), F.struct("size", "n", "base", "want"))
+    bands = c.groupBy("sk", "band").agg(F.sum("off").cast("double").alias("off"), F.collect_list(one).alias("of"))
+    bands = bands.groupBy("sk").agg(F.sort_array(F.collect_list(F.struct("band", "off", F.sort_array("of", asc=False).alias("of"))), asc=False).alias("all"))
+    none = F.expr("array()").cast("array<struct<size:bigint,more:bigint>>")
+
+    def take(acc: Column, x: Column) -> Column:
+        size, n = x["size"], x["n"]
+        more = F.greatest(-x["base"] * n, F.least((CAP - x["base"]) * n, F.round(x["want"] + acc["carry"] / size).cast("bigint")))
+        return F.struct((acc["carry"] + size * (x["want"] - more)).alias("carry"), F.concat(acc["out"], F.array(F.struct(size.alias("size"), more.alias("more")))).alias("out"))
+
+    def through(acc: Column, x: Column) -> Column:
+        return F.aggregate(x["of"], F.struct((acc["carry"] + x["off"]).alias("carry"), acc["out"].alias("out")), take)
+
+    moved = bands.select("sk", F.inline(F.aggregate("all", F.struct(F.lit(0.0).alias("carry"), none.alias("out")), through, lambda a: a["out"])))
+    c = c.join(moved, ["sk", "size"], "left").withColumn("extra", F.col("extra") + F.coalesce("more", F.lit(0)))
+    # beyond one copy a document, all documents get whole copies more or fewer
+    all_ = F.col("base") * F.col("n") + F.col("extra")
+    c = c.withColumn("all", all_).withColumn("base", F.floor(F.col("all") / F.col("n")).cast("bigint"))
+    return c.select("sk", "size", "n", "base", (F.col("all") - F.col("base") * F.col("n")).cast("bigint").alias("extra"))
+
+
+def classes(sizes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(classes, sources) of doc_id, source, __m_size: for each (sk, size) the copies of every document (base), the
+    bucket up to which they get one more (upto), how many do in bucket upto (rest); for each sk total and target."""
+    bucketed = sizes.groupBy(_sk(F.col("source")).alias("sk"), F.col("__m_size").alias("size"), _bucket().alias("bucket")).agg(F.count("*").alias("n"))
+    bucketed = scratch.write(bucketed, "buckets", narrow=True)
+    hist = scratch.write(bucketed.groupBy("sk", "size").agg(F.sum("n").alias("n")), "sizes-by-source", narrow=True)
+    per = scratch.write(targets(hist).coalesce(1), "targets")
+    bucketed, hist = bucketed.filter("size > 0"), hist.filter("size > 0")
     dual = solve(hist, per, scratch)
 
     r = _rate(F.col("lam"), F.col("size") / F.col("scale"), F.col("full"))
-    c = hist.join(dual, "sk").withColumn("r", F.round(r * UNIT) / UNIT)
+    c = hist.join(dual.drop("total", "target"), "sk").withColumn("r", F.round(r * UNIT) / UNIT)
     c = c.withColumn("base", F.floor("r")).withColumn("want", F.col("n") * (F.col("r") - F.col("base")))
-    by_size = Window.partitionBy("sk").orderBy("size")
-    c = c.withColumn("rank", F.row_number().over(by_size))
-    big = c.filter(F.col("rank") > FOLD)
-    down = Window.partitionBy("sk").orderBy(F.col("size").desc())
-    upto = F.floor(F.sum("want").over(down.rowsBetween(Window.unboundedPreceding, 0)) + 0.5)
-    big = big.withColumn("upto", upto).withColumn("extra", F.col("upto") - F.coalesce(F.lag("upto").over(down), F.lit(0))).drop("upto")
-    big = big.withColumn("extra", F.greatest(F.lit(0), F.least("extra", F.col("n"))))
-    left = big.groupBy("sk").agg(F.sum(F.col("size") * (F.col("want") - F.col("extra"))).alias("left"))
-    few = c.filter(F.col("rank") <= FOLD).groupBy("sk").agg(F.sort_array(F.collect_list(F.struct("size", "n", "base", "want")), asc=False).alias("all"))
-    few = few.join(left, "sk", "left")
-    start = F.struct(F.coalesce(F.col("left"), F.lit(0.0)).alias("carry"), F.expr("array()").cast("array<struct<size:bigint,n:bigint,base:bigint,extra:bigint>>").alias("out"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        size, n = x["size"], x["n"]
-        extra = F.greatest(-x["base"] * n, F.least((CAP - x["base"]) * n, F.round(x["want"] + acc["carry"] / size).cast("bigint")))
-        carry = acc["carry"] + size * (x["want"] - extra)
-        # beyond one copy a document, all documents get whole copies more or fewer
-        whole = F.floor(extra / n).cast("bigint")
-        one = F.struct(size.alias("size"), n.alias("n"), (x["base"] + whole).alias("base"), (extra - whole * n).alias("extra"))
-        return F.struct(carry.alias("carry"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    few = few.select("sk", F.inline(F.aggregate("all", start, fold, lambda a: a["out"])))
-    copies = few.unionByName(big.select("sk", "size", "n", "base", F.col("extra").cast("bigint").alias("extra")))
+    copies = rounded(c.select("sk", "size", "n", "base", "want"))
 
     b = bucketed.select("sk", "size", "bucket", F.col("n").alias("m"))
     b = b.withColumn("upper", F.sum("m").over(Window.partitionBy("sk", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
@@ -152,9 +166,11 @@ def classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, Da
     # all or none of a class: a bucket before the first or after the last
     upto = F.coalesce("upto", F.when(F.col("extra") > 0, F.lit(BUCKETS)).otherwise(F.lit(-1)))
     out = out.select("sk", F.col("size").alias("__m_s"), "base", upto.cast("int").alias("upto"), F.coalesce("rest", F.lit(0)).cast("bigint").alias("rest"))
-    out = scratch.write(out, "classes")
-    scratch.drop(bucketed, hist, dual)
-    return out, per, sizes
+    return scratch.write(out, "classes", narrow=True), per
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("__m_size"))
 
 
 def _hash() -> Column:
@@ -187,7 +203,8 @@ def mix(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     further columns are ignored.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
-    cls, per, sizes = classes(docs.select("doc_id", "source", "text"), scratch)
+    sizes = scratch.write(sized(docs), "sizes")
+    cls, per = classes(sizes, scratch)
     per = per.select(F.col("sk").alias("__m_sk3"), "total", "target")
     out = with_copies(sizes, cls).join(per, F.col("__m_sk") == F.col("__m_sk3"), "left")
     return out.select("doc_id", F.col("__m_size").alias("size"), F.col("total").alias("source_size"), "target", (F.col("__m_size") * F.col("__m_copies")).alias("taken"), F.col("__m_copies").alias("copies"))
@@ -197,7 +214,6 @@ def mixed(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with docs' columns."""
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
     names = Names(docs)
-    cls, _, sizes = classes(docs.select("doc_id", "source", "text"), scratch)
-    scratch.drop(sizes)
+    cls, _ = classes(sized(docs), scratch)
     out = with_copies(names.docs.withColumn("__m_size", word_count(F.col("text"))), cls).filter("__m_copies > 0")
     return names.back(out.withColumn("__m_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__m_copies")))))

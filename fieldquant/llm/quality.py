@@ -9,8 +9,9 @@ distance from the final estimate is beyond ``CUTOFF``.
 
 Coordinates are integers (a grid of 1/256), so all sums are exact whatever the
 order in which tasks end.  Groups of fewer than ``LEAST`` documents are pooled by
-language, and those of small languages together; a pool that is still too small
-rejects nothing.
+language, those of small languages together, and if these are still too few they
+are judged by the whole corpus.  An estimate from few documents is less sure, so
+its cutoff is that of the F distribution with their number.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ from pyspark.sql.window import Window
 
 from .common import Names, Scratch, filled, mix64, one_array, resting, ship, slices, words_of
 
-LEAST = 100
+#: Documents for an estimate of a group's own: with fewer, the cutoff (74 at 40, 241 at 20) would let junk pass.
+LEAST = 40
 #: Tables of one row a group are broadcast up to this many groups, and joined by shuffle beyond.
 BROADCAST_GROUPS = 20_000
 STEPS = 4
 SHARE = 0.75
-#: chi-square of 4 degrees of freedom: beyond it one of 1e6 normal points.
-CUTOFF = 33.4
+#: chi-square of 4 degrees of freedom: beyond it one of 1e6 (RARE) normal points.
+CUTOFF, RARE = 33.4, 1e-6
 MEDIAN = 3.3567  # of the same distribution
 GRID = 256
 #: Least standard deviation of each coordinate: what is the same in most documents is no reason to reject.
@@ -146,10 +148,34 @@ def _distance(stats: DataFrame, params: DataFrame, groups: DataFrame) -> DataFra
     joined = stats.join(_sent(p, groups), stats["gk"] == p["__pk"], "left").drop("__pk")
     z = [F.col(X[i]) / float(GRID) - F.col(f"m{i}") for i in range(D)]
     d2 = sum((z[i] * z[j] * F.col(f"a{i}{j}") * (1.0 if i == j else 2.0) for i, j in PAIRS), F.lit(0.0))
-    return joined.withColumn("d2", F.greatest(d2, F.lit(0.0))).drop(*[f"m{i}" for i in range(D)], *[f"a{i}{j}" for i, j in PAIRS])
+    return joined.withColumn("d2", F.greatest(d2, F.lit(0.0))).drop("n", *[f"m{i}" for i in range(D)], *[f"a{i}{j}" for i, j in PAIRS])
 
 
-_PARAMS = "gk string, " + ", ".join([f"m{i} double" for i in range(D)] + [f"a{i}{j} double" for i, j in PAIRS])
+def cutoff(n: int) -> float:
+    """The squared distance beyond which one of 1 / RARE points lies if the estimate comes from SHARE of n points.
+
+    (m + 1)(m - 1) D / (m (m - D)) times the quantile of the F distribution of D = 4 and m - D degrees of freedom, whose
+    tail is a polynomial; infinite if there are no degrees of freedom.
+    """
+    m = int(np.ceil(SHARE * n))
+    v = m - D
+    if v <= 0:
+        return float("inf")
+    lo, hi = 0.0, 1.0
+
+    def tail(x: float) -> float:
+        u = v / (v + D * x)
+        return u ** (v / 2) * (1 + v / 2 * (1 - u))
+
+    while tail(hi) > RARE and hi < 1e300:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if tail(mid) > RARE else (lo, mid)
+    return max(CUTOFF, (m + 1) * (m - 1) * D / (m * (m - D)) * hi)
+
+
+_PARAMS = "gk string, n bigint, " + ", ".join([f"m{i} double" for i in range(D)] + [f"a{i}{j} double" for i, j in PAIRS])
 
 
 def _bin(d2: Column) -> Column:
@@ -159,12 +185,10 @@ def _bin(d2: Column) -> Column:
 def _invert(moments: DataFrame) -> DataFrame:
     """Estimates from the sums of each group: one row a group."""
 
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
+    def run(batches):
+        for batch in batches:
             out = []
-            for r in f.to_dict("records"):
+            for r in batch.to_pylist():
                 n = float(r["n"])
                 m = np.array([float(r[f"s{i}"]) / n for i in range(D)])
                 cov = np.zeros((D, D))
@@ -173,25 +197,44 @@ def _invert(moments: DataFrame) -> DataFrame:
                 cov /= GRID**2
                 cov += np.diag(np.square(FLOOR))
                 a = np.linalg.inv(cov)
-                out.append({"gk": r["gk"]} | {f"m{i}": m[i] / GRID for i in range(D)} | {f"a{i}{j}": a[i, j] for i, j in PAIRS})
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in _PARAMS.split(", ")])
+                out.append({"gk": r["gk"], "n": r["n"]} | {f"m{i}": m[i] / GRID for i in range(D)} | {f"a{i}{j}": a[i, j] for i, j in PAIRS})
+            yield _rows(out)
+
+    return moments.mapInArrow(resting(run), _PARAMS)
+
+
+def _rows(rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
+    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in _PARAMS.split(", ")]))
+
+
+def _strict(params: DataFrame) -> DataFrame:
+    """Estimates whose distances are held against CUTOFF, whatever the number of a group's documents."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                k = CUTOFF / cutoff(r["n"])
+                out.append(r | {f"a{i}{j}": r[f"a{i}{j}"] * k for i, j in PAIRS})
+            yield _rows(out)
 
-    return moments.mapInPandas(run, _PARAMS)
+    return params.mapInArrow(resting(run), _PARAMS)
 
 
 def _start(members: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     """Coordinate-wise medians and median absolute deviations."""
     med = members.groupBy("gk").agg(*[F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(X)])
-    med = scratch.write(med, "medians")
+    med = scratch.write(med, "medians", narrow=True)
     away = members.join(_sent(med.withColumnRenamed("gk", "__pk"), groups), F.col("gk") == F.col("__pk"))
     mad = away.groupBy("gk", *[f"m{i}" for i in range(D)]).agg(*[F.percentile(F.abs(F.col(x) - F.col(f"m{i}")), F.lit(0.5)).alias(f"d{i}") for i, x in enumerate(X)])
     cols = [(F.col(f"m{i}") / GRID).alias(f"m{i}") for i in range(D)]
     inv = [(1.0 / (F.pow(F.col(f"d{i}") * 1.4826 / GRID, 2) + FLOOR[i] ** 2) if i == j else F.lit(0.0)).alias(f"a{i}{j}") for i, j in PAIRS]
-    return mad.select("gk", *cols, *inv)
+    return mad.select("gk", F.lit(0).cast("bigint").alias("n"), *cols, *inv)
 
 
 def grouped(stats: DataFrame, prefix: str = "") -> DataFrame:
-    """The group of each (lang, source): own, pooled by language, pooled further, or none (null)."""
+    """The group of each (lang, source): own, pooled by language, pooled further, or the whole corpus ('w')."""
     good = stats.filter(~base_failed(prefix))
     c = good.groupBy("lang", "source").agg(F.count("*").alias("n"))
     small = F.when(F.col("n") < LEAST, F.col("n")).otherwise(0)
@@ -200,34 +243,37 @@ def grouped(stats: DataFrame, prefix: str = "") -> DataFrame:
     gk = (
         F.when(F.col("n") >= LEAST, F.concat(F.lit("s"), _key(F.col("lang"), F.col("source"))))
         .when(F.col("nl") >= LEAST, F.concat(F.lit("l"), _key(F.col("lang"))))
-        .when(F.lit(rest >= LEAST), F.lit("r"))
+        .otherwise(F.lit("r" if rest >= LEAST else "w"))
     )
     return c.select(_key(F.col("lang"), F.col("source")).alias("__k"), gk.alias("gk"))
 
 
 def fit(stats: DataFrame, scratch: Scratch, prefix: str = "") -> tuple[DataFrame, DataFrame]:
     """(groups, params) of a table with lang, source, counts and coordinates."""
-    groups = scratch.write(grouped(stats, prefix), "groups")
-    members = with_group(stats.filter(~base_failed(prefix)), groups).filter(F.col("gk").isNotNull()).select("gk", *X)
-    params = scratch.write(_start(members, groups, scratch), "start")
+    write = lambda df, name: scratch.write(df, name, narrow=True)  # noqa: E731  one row a group each
+    groups = write(grouped(stats, prefix), "groups")
+    members = with_group(stats.filter(~base_failed(prefix)), groups).select("gk", *X)
+    if groups.filter("gk = 'w'").take(1):  # all documents are members of it
+        members = members.filter("gk <> 'w'").unionByName(members.withColumn("gk", F.lit("w")))
+    params = write(_start(members, groups, scratch), "start")
     for _ in range(STEPS):
         near = _distance(members, params, groups).withColumn("b", _bin(F.col("d2")))
         # the quantile's own bin belongs to the nearer part: at least SHARE of the group
         edge = near.groupBy("gk").agg(F.ceil(F.percentile("b", F.lit(SHARE))).alias("edge"))
-        edge = scratch.write(edge, "edges")  # one row a group, of known size: the members aren't dealt by group to meet it
+        edge = write(edge, "edges")  # one row a group, of known size: the members aren't dealt by group to meet it
         part = near.join(_sent(edge.withColumnRenamed("gk", "__pk"), groups), F.col("gk") == F.col("__pk")).filter(F.col("b") <= F.col("edge"))
         sums = part.groupBy("gk").agg(
             F.count("*").alias("n"),
             *[F.sum(X[i]).alias(f"s{i}") for i in range(D)],
             *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s{i}{j}") for i, j in PAIRS],
         )
-        params = scratch.write(_invert(sums), "params")
+        params = write(_invert(sums), "params")
     # made consistent: the median distance is that of the normal distribution, never less strict than the floor allows
-    mid = _distance(members, params, groups).groupBy("gk").agg(F.percentile(_bin(F.col("d2")), F.lit(0.5)).alias("b"))
+    mid = _distance(members, params, groups).groupBy("gk").agg(F.percentile(_bin(F.col("d2")), F.lit(0.5)).alias("b"), F.count("*").alias("size"))
     scale = F.greatest(F.lit(1.0), F.expm1((F.col("b") + 1) / 128.0) / MEDIAN)
     p = params.join(mid.withColumnRenamed("gk", "__pk"), F.col("gk") == F.col("__pk"))
-    params = scratch.write(p.select("gk", *[f"m{i}" for i in range(D)], *[(F.col(f"a{i}{j}") / scale).alias(f"a{i}{j}") for i, j in PAIRS]), "final")
-    return groups, params
+    p = p.select("gk", F.col("size").alias("n"), *[f"m{i}" for i in range(D)], *[(F.col(f"a{i}{j}") / scale).alias(f"a{i}{j}") for i, j in PAIRS])
+    return groups, write(_strict(p), "final")
 
 
 def with_group(stats: DataFrame, groups: DataFrame) -> DataFrame:
@@ -246,7 +292,8 @@ def verdicts(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, the base counts, base_failed, kept (and distance2) of every row of docs.
 
     Null text: no words, so base_failed.  Null lang or source: groups of their
-    own.  Repeated rows stay repeated and count each time; an empty table gives
+    own.  A corpus of fewer than 6 documents rejects none beyond the base rules.
+    Repeated rows stay repeated and count each time; an empty table gives
     an empty one; further columns are ignored.
     """
     scratch = scratch or Scratch(docs.sparkSession, "quality")

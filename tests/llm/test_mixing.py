@@ -105,6 +105,26 @@ def test_mixed_rows_keep_their_columns(awkward_docs):
     assert Counter(r.doc_id for r in out.collect()) == +sizes
 
 
+def test_many_distinct_sizes_and_one_very_long_text(spark):
+    """More sizes than any fold would hold, and a document of half its source."""
+    rows = [(k, "w " * (k + 1), "a") for k in range(300)] + [(1000, "w " * 40_000, "a")] + [(2000 + k, "w " * (7 * k + 3), "b") for k in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)).collect()
+    taken, target, _ = check(got, rows)
+    assert all(abs(taken[s] - target[s]) <= 3 for s in target)
+
+
+def test_rounding_in_one_law(spark):
+    """The same rounding for 6,000 distinct sizes of a source as for few: words end within half the smallest size."""
+    rnd = random.Random(3)
+    data = [("s", size, rnd.randrange(1, 9), 0, rnd.random()) for size in range(5, 6005)] + [("t", 9, 400, 2, 150.5), ("t", 1000, 1, 1, 0.25)]
+    df = spark.createDataFrame([(k, z, n, b, n * w if k == "s" else w) for k, z, n, b, w in data], "sk string, size bigint, n bigint, base bigint, want double")
+    got = {(r.sk, r.size): r for r in mixing.rounded(df).collect()}
+    assert len(got) == len(data) and all(0 <= r.extra < r.n and 0 <= r.base and r.base * r.n + r.extra <= 3 * r.n for r in got.values())
+    for sk, least in (("s", 5), ("t", 9)):
+        want = sum(z * (b * n + (n * w if sk == "s" else w)) for k, z, n, b, w in data if k == sk)
+        assert abs(want - sum(z * (r.base * r.n + r.extra) for (k, z), r in got.items() if k == sk)) <= least
+
+
 def test_native(spark, sf):
     plan = op4_entropy_balanced_mix(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan

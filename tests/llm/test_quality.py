@@ -45,13 +45,13 @@ def brute(rows):
             return r[2:]
         if by_lang[r[2]] >= q.LEAST:
             return (r[2],)
-        return "rest" if rest >= q.LEAST else None
+        return "rest" if rest >= q.LEAST else "whole"
 
     bins = lambda d: np.floor(np.log1p(np.minimum(d, 1e9)) * 128).astype(int)
     floor = np.diag(np.square(q.FLOOR))
     distance = {}
     for g in {group(r) for r in rows} - {None}:
-        x = np.array([grid[k] for k in good if group(rows[k]) == g], float)
+        x = np.array([grid[k] for k in good if g == "whole" or group(rows[k]) == g], float)
         m = np.median(x, axis=0)
         d = np.median(np.abs(x - m), axis=0)
         m, a = m / q.GRID, np.diag(1 / ((d * 1.4826 / q.GRID) ** 2 + np.square(q.FLOOR)))
@@ -62,7 +62,7 @@ def brute(rows):
             m = near.mean(axis=0)
             cov = near.T @ near / len(near) - np.outer(m, m)
             m, a = m / q.GRID, np.linalg.inv(cov / q.GRID**2 + floor)
-        a = a / max(1.0, np.expm1((np.median(bins(far(x, m, a))) + 1) / 128) / q.MEDIAN)
+        a = a / max(1.0, np.expm1((np.median(bins(far(x, m, a))) + 1) / 128) / q.MEDIAN) * (q.CUTOFF / q.cutoff(len(x)))
         for k, r in enumerate(rows):
             if group(r) == g:
                 distance[k] = far(np.array([grid[k]], float), m, a)[0]
@@ -98,6 +98,30 @@ def test_groups_of_every_kind(spark):
     assert 0 < sum(not r.kept and not r.base_failed for r in got) < 100
 
 
+def test_cutoffs_hold_their_level():
+    """Squared distances of new points from estimates of normal samples, by simulation at a rarity that can be counted."""
+    rng = np.random.default_rng(3)
+    assert q.cutoff(5) == float("inf") and abs(q.cutoff(10**6) - q.CUTOFF) < 0.1
+    assert all(q.cutoff(n) >= q.cutoff(n + 1) for n in range(20, 3000))
+    for m in (15, 40):
+        far = 0
+        for _ in range(4000):
+            x, y = rng.normal(size=(m, 4)), rng.normal(size=(50, 4))
+            z = y - x.mean(axis=0)
+            far += (np.einsum("ni,ij,nj->n", z, np.linalg.inv(np.cov(x, rowvar=False)), z) > q.cutoff(m / q.SHARE)).sum()
+        assert far <= 8  # of 200,000, about 0.2 expected
+
+
+def test_few_documents_still_get_a_verdict(spark):
+    """Languages of three documents each are judged by the whole corpus, junk among them is rejected."""
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join("".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 9)))) for _ in range(40)), f"l{k // 300}", "s") for k in range(300)]
+    rows += [(900, "#$%&|<>* " * 40 + "ab cd ef", "rare", "s"), (901, "#$%&|<>* " + rows[0][1], "rare", "t"), (902, rows[1][1], None, None)]
+    got = {r.doc_id: r.kept for r in q.verdicts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    same(q.verdicts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect(), rows)
+    assert not got[900] and got[902]
+
+
 def test_awkward_rows(awkward_docs, awkward_rows, no_docs):
     same(q.verdicts(awkward_docs).collect(), [r[:4] for r in awkward_rows])
     assert q.verdicts(no_docs).collect() == []
