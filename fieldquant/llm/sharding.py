@@ -1,29 +1,36 @@
 """Fixed-capacity shards by best-fit-decreasing bin packing.
 
-Groups (documents of equal text) are indivisible.  Large groups are packed one
-by one; there are few of them by arithmetic (each holds a fixed share of a
-shard).  All smaller groups are dealt by hash over ``UNITS`` small units, which
-are packed like groups.  The driver therefore packs a bounded number of items
-whatever the corpus: sorted by size, each into the bin with the tightest
-remaining capacity, found in a balanced tree of capacities.
-
-``pack`` uses as few bins of one capacity as best fit needs; ``balance`` finds
-by bisection the least capacity for which a given number of bins is enough.
+Groups (documents of equal text) are indivisible.  Items are sorted by size and
+each goes into the bin with the tightest remaining capacity, found in a balanced
+tree of capacities.  Groups of a fixed share of a bin or more are items of their
+own; there are few of them by arithmetic.  Smaller ones are put together first:
+
+* ``balance`` (a given number of shards, by bisection the least capacity for which
+  they are enough): by hash, over as many units as a shard may have items.  The
+  number of items follows the number of shards, and the driver packs them.
+* ``capacity``: into grains of 1/256 of a bin at most, so an item never exceeds a bin
+  that its groups would fit.  Groups are dealt by hash over cells of some 64 bins,
+  each packed in a task of its own; the bins that a cell leaves half empty (one at
+  most) are packed together afterwards.  Nothing reaches the driver.
 """
 
 from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, ship
 
-UNITS = 4096
-#: A group of more than 1/LARGE of a shard is packed by itself: at most shards * LARGE groups are.
+#: A group of more than 1/LARGE of a bin is packed by itself.
 LARGE = 512
+#: Items of a balanced packing (large groups, and as many units): LARGE becomes less with more shards.
+ITEMS, MOST_SHARDS = 1 << 15, 1 << 12
+#: Bins of a cell.
+CELL = 64
 #: Hash buckets in which the rows of a shard are numbered.
 ROWS = 1024
 
@@ -137,32 +144,92 @@ def _size(text: Column) -> Column:
     return (F.octet_length(F.coalesce(text, F.lit(""))) + 1).cast("bigint")
 
 
-def _unit(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(UNITS)).cast("int")
+def _rows(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", _key(F.col("text")).alias("__s_key"), _size(F.col("text")).alias("__s_size"), F.crc32(text.cast("binary")).alias("__s_crc"))
 
 
-def assign(docs: DataFrame, shards: int | None = 8, capacity: int | None = None) -> DataFrame:
-    """doc_id, __s_key, __s_size, shard of every row: either `shards` balanced shards, or as few as `capacity` bytes allow."""
-    rows = docs.select("doc_id", _key(F.col("text")).alias("__s_key"), _size(F.col("text")).alias("__s_size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("__s_crc"))
+def assign(docs: DataFrame, shards: int | None = 8, capacity: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, __s_key, __s_size, __s_crc, shard of every row: either `shards` balanced shards, or as few as `capacity` bytes allow."""
+    return by_capacity(docs, capacity, scratch or Scratch(docs.sparkSession, "sharding")) if capacity else balanced(docs, shards)
+
+
+def balanced(docs: DataFrame, shards: int) -> DataFrame:
+    if not 0 < shards <= MOST_SHARDS:
+        raise ValueError(f"1 to {MOST_SHARDS} balanced shards; use a capacity for more")
+    large_share = max(8, min(LARGE, ITEMS // shards))
+    n_units = large_share * shards
+    unit = lambda key: F.pmod(F.xxhash64(key), F.lit(n_units)).cast("int")
+    rows = _rows(docs)
     groups = rows.groupBy("__s_key").agg(F.sum("__s_size").alias("bytes"))
     total = rows.agg(F.sum("__s_size").alias("n")).first()["n"] or 0
-    room = capacity or -(-total // shards) or 1
-    large = {r["__s_key"]: r["bytes"] for r in groups.filter(F.col("bytes") * LARGE > room).collect()}  # fewer than LARGE * total / room
+    room = -(-total // shards) or 1
+    large = {r["__s_key"]: r["bytes"] for r in groups.filter(F.col("bytes") * large_share > room).collect()}  # fewer than n_units
     spark = docs.sparkSession
     names = spark.createDataFrame([(k,) for k in large], "__s_large string")
     small = groups.join(F.broadcast(names), F.col("__s_key") == F.col("__s_large"), "left_anti")
-    units = {r["u"]: r["bytes"] for r in small.groupBy(_unit(F.col("__s_key")).alias("u")).agg(F.sum("bytes").alias("bytes")).collect()}  # at most UNITS
+    units = {r["u"]: r["bytes"] for r in small.groupBy(unit(F.col("__s_key")).alias("u")).agg(F.sum("bytes").alias("bytes")).collect()}  # at most n_units
     items = [*sorted(large), *sorted(units)]
-    sizes = [large[i] if isinstance(i, str) else units[i] for i in items]
-    bins = pack(sizes, room)[0] if capacity else balance(sizes, shards)
-    of = dict(zip(items, bins))
+    of = dict(zip(items, balance([large[i] if isinstance(i, str) else units[i] for i in items], shards)))
     table_large = spark.createDataFrame([(k, of[k]) for k in sorted(large)], "__s_large string, __s_bin int")
     table_units = spark.createDataFrame([(u, of[u]) for u in sorted(units)], "__s_u int, __s_ubin int")
     placed = rows.join(F.broadcast(table_large), F.col("__s_key") == F.col("__s_large"), "left")
-    placed = placed.withColumn("__s_unit", _unit(F.col("__s_key"))).join(F.broadcast(table_units), F.col("__s_unit") == F.col("__s_u"), "left")
+    placed = placed.withColumn("__s_unit", unit(F.col("__s_key"))).join(F.broadcast(table_units), F.col("__s_unit") == F.col("__s_u"), "left")
     return placed.select("doc_id", "__s_key", "__s_size", "__s_crc", F.coalesce("__s_bin", "__s_ubin").alias("shard"))
 
 
+def by_capacity(docs: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
+    """Shards of at most `capacity` bytes (one group above it: a shard of its own), numbered from 0 without gaps."""
+    if capacity < 1:
+        raise ValueError("a capacity of at least one byte")
+    ship(docs.sparkSession)
+    rows = scratch.write(_rows(docs), "rows")
+    total = rows.agg(F.sum("__s_size").alias("n")).first()["n"] or 0
+    cells = max(1, -(-total // (capacity * CELL)))
+    h = F.xxhash64("__s_key")
+    groups = rows.groupBy("__s_key").agg(F.sum("__s_size").alias("bytes")).withColumn("cell", F.pmod(h, F.lit(cells)))
+    groups = groups.withColumn("u", F.when(F.col("bytes") * LARGE <= capacity, F.pmod(F.xxhash64(F.lit("u"), "__s_key"), F.lit(LARGE * CELL))))
+    # small groups in a row, cut where a grain is full; a unit holds some capacity / LARGE bytes
+    line = Window.partitionBy("cell", "u").orderBy("__s_key").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("bytes").over(line), F.lit(0))
+    item = F.when(F.col("u").isNull(), F.col("__s_key")).otherwise(F.concat_ws(":", "u", F.floor(before * LARGE / capacity).cast("bigint")))
+    groups = scratch.write(groups.withColumn("item", item).select("__s_key", "cell", "item", "bytes"), "groups")
+
+    def best_fit(t: pa.Table) -> pa.Table:
+        sizes = t.column("bytes").to_pylist()
+        order = sorted(range(len(sizes)), key=lambda i: t.column("item")[i].as_py())  # reruns agree
+        bins = pack([sizes[i] for i in order], capacity)[0]
+        fill: dict[int, int] = {}
+        for i, b in zip(order, bins):
+            fill[b] = fill.get(b, 0) + sizes[i]
+        out = dict(zip(order, bins))
+        return t.drop_columns(["bytes"]).append_column("bin", pa.array([out[i] for i in range(len(sizes))], pa.int64())).append_column("fill", pa.array([fill[out[i]] for i in range(len(sizes))], pa.int64()))
+
+    items = groups.groupBy("cell", "item").agg(F.sum("bytes").alias("bytes"))
+    packed = scratch.write(items.groupBy("cell").applyInArrow(best_fit, "cell bigint, item string, bin bigint, fill bigint"), "packed")
+    bins = packed.select("cell", "bin", "fill").distinct()
+
+    def together(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(t.column("cell").to_pylist(), t.column("bin").to_pylist(), t.column("fill").to_pylist()))
+        host: dict[int, tuple] = {}
+        out = []
+        for (c, b, _), k in zip(rows, pack([f for *_, f in rows], capacity)[0]):
+            out.append((c, b, *host.setdefault(k, (c, b))))
+        return pa.table({n: pa.array([r[i] for r in out], pa.int64()) for i, n in enumerate(("cell", "bin", "to_cell", "to_bin"))})
+
+    many = max(1, cells // ITEMS)
+    light = bins.filter(F.col("fill") * 2 <= capacity).groupBy(F.pmod("cell", F.lit(many))).applyInArrow(together, "cell bigint, bin bigint, to_cell bigint, to_bin bigint")
+    light = scratch.write(light, "light", narrow=True)
+    final = packed.join(light, ["cell", "bin"], "left").select("cell", "item", F.coalesce("to_cell", "cell").alias("c"), F.coalesce("to_bin", "bin").alias("b"))
+    final = scratch.write(final, "final")
+    # numbers: the bins of the cells before, then those of the cell
+    hosts = final.select("c", "b").distinct()
+    sums = hosts.groupBy("c").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a cell
+    numbers = hosts.withColumn("k", F.row_number().over(Window.partitionBy("c").orderBy("b"))).join(sums.select("c", "before"), "c").select("c", "b", (F.col("before") + F.col("k") - 1).cast("int").alias("shard"))
+    of = groups.join(final.join(numbers, ["c", "b"]), ["cell", "item"]).select(F.col("__s_key").alias("__s_k"), "shard")
+    return rows.join(of, F.col("__s_key") == F.col("__s_k")).drop("__s_k")
+
+
 def shards(docs: DataFrame, n: int = 8, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null) of every row of docs.
 
@@ -173,7 +240,7 @@ def shards(docs: DataFrame, n: int = 8, scratch: Scratch | None = None) -> DataF
     is larger by as much.
     """
     scratch = scratch or Scratch(docs.sparkSession, "sharding")
-    placed = assign(docs, n).withColumn("__s_row", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("__s_key")), F.lit(ROWS)).cast("int"))
+    placed = assign(docs, n, scratch=scratch).withColumn("__s_row", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("__s_key")), F.lit(ROWS)).cast("int"))
     placed = scratch.write(placed.select("doc_id", "__s_size", "__s_crc", "shard", "__s_row"), "placed")
     cells = placed.groupBy("shard", "__s_row").agg(F.count("*").alias("n"))  # at most n * ROWS rows
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("__s_row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

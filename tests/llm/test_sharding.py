@@ -75,3 +75,42 @@ def test_fixed_capacity(spark):
     out = sharding.assign(spark.createDataFrame(rows, "doc_id bigint, text string"), None, 2000).groupBy("shard").sum("__s_size").collect()
     total = sum(len(t) + 1 for _, t in rows)
     assert all(r[1] <= 2000 for r in out) and len(out) <= total / 2000 * 1.25 + 1
+
+
+def test_fixed_capacity_over_cells(spark, monkeypatch):
+    """Groups of every size: no shard above the capacity but for a group that is, nearly as few as the bytes need, numbers without gaps."""
+    monkeypatch.setattr(sharding, "CELL", 4)
+    monkeypatch.setattr(sharding, "LARGE", 16)
+    rnd = random.Random(5)
+    rows = [(k, "x" * int(2 ** rnd.uniform(0, 9)) + str(k % 1900)) for k in range(4000)] + [(9000, "y" * 5000), (9001, None), (9002, "")] + [(9100 + k, "third " * 20) for k in range(11)]
+    for capacity in (1500, 4000, 10**9):
+        got = sharding.assign(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), capacity=capacity).collect()
+        assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+        size, home, group = defaultdict(int), defaultdict(set), defaultdict(int)
+        for r in got:
+            size[r.shard] += r["__s_size"]
+            home[r["__s_key"]].add(r.shard)
+            group[r["__s_key"]] += r["__s_size"]
+        assert all(len(s) == 1 for s in home.values()) and sorted(size) == list(range(len(size)))
+        over = [g for g in group.values() if g > capacity]
+        assert sum(b > capacity for b in size.values()) == len(over)
+        least = -(-(sum(size.values()) - sum(over)) // capacity) + len(over)
+        assert len(size) <= least * 1.15 + 2
+        again = sharding.assign(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), capacity=capacity).collect()
+        assert sorted((r.doc_id, r.shard) for r in again) == sorted((r.doc_id, r.shard) for r in got)
+
+
+def test_capacity_of_awkward_rows(awkward_docs, awkward_rows, no_docs):
+    got = sharding.assign(awkward_docs, capacity=100_000).collect()
+    assert len(got) == len(awkward_rows) and sharding.assign(no_docs, capacity=10).collect() == []
+
+
+def test_many_balanced_shards(spark):
+    rows = [(k, "z" * (k % 97)) for k in range(97)] + [(1000 + k, "z" * 50 + str(k)) for k in range(20_000)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id bigint, text string"), 600).collect()
+    size = defaultdict(int)
+    for r in got:
+        size[r.shard] += r["__s_size"]
+    mean = sum(size.values()) / 600
+    # the least capacity that 600 bins need: what it leaves free is in one of them
+    assert len(size) == 600 and max(size.values()) <= 1.02 * mean and sorted(size.values())[1] >= 0.95 * mean
