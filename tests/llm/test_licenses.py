@@ -49,6 +49,32 @@ def test_against_sql(spark, sf):
     assert got == sorted((i, x, n) for i, n, x in want)
 
 
+def test_sql_on_notices_of_both_forms(spark, tmp_path):
+    """The SQL knows what the operator knows, on every planted form and on texts that hold a wrapped notice beside lines."""
+    bsd = "\n\n".join(wrapped(licenses.SENTENCES[k][0]) for k in (30, 31, 32))
+    more = ["Copyright 2020 Foo\nLicensed under the MIT License.\n\n" + bsd, bsd + "\na\nb\nLicensed under the ISC License.\nc", "x\n\n" + wrapped(GPL, 30) + "\n" + MIT, "\ue000 a\ue000b\nLicensed under the MIT License.", "a\nb\nc\nLicensed under the MIT License.\nd. e! f\n\n\n g"]
+    spark.createDataFrame([(k, t) for k, t in enumerate([c[0] for c in CASES] + more)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    want = sorted(con.execute(licenses.oracle()).fetchall())
+    assert sorted((r.doc_id, r.n_sentences, r.licenses) for r in licenses.scanned(spark.read.parquet(f"{tmp_path}/d")).collect()) == want
+
+
+def test_identifiers_far_apart_make_no_licence(spark):
+    one, two, three = (licenses.SENTENCES[k][0] for k in (30, 31, 32))
+    gap = lambda n: " ".join(f"Sentence number {k} here." for k in range(n))
+    rows = [(n, f"{one}\n\n{gap(n)} {two} {three}") for n in (0, licenses.GAP, licenses.GAP + 1)]
+    got = {r.doc_id: (r.n_sentences, r.licenses) for r in licenses.scanned(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {0: (3, "BSD-2-Clause"), licenses.GAP: (3, "BSD-2-Clause"), licenses.GAP + 1: (3, "unknown")}
+
+
+def test_every_licence_has_a_rule_that_a_text_can_meet(spark):
+    text = lambda run: "\n\n".join(licenses.SENTENCES[i][0] for i in run)
+    df = spark.createDataFrame([(k, text(run)) for k, (_, run) in enumerate(licenses.RULES)], "doc_id bigint, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scanned(df).collect()}
+    assert all(name in got[k].split(",") for k, (name, _) in enumerate(licenses.RULES)), [(licenses.RULES[k], got[k]) for k in got if licenses.RULES[k][0] not in got[k]]
+
+
 def test_marks_cover_all_sentences():
     import re
 
