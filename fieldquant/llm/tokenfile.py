@@ -1,11 +1,13 @@
 """A binary file of token ids: Stream-VByte blocks over frequency-ranked ids.
 
-Layout (a table of blocks in the shared folder, so that writes are atomic and
-any storage that Spark reads will do): ``part``, ``block`` and ``start`` (ids of
+Layout: a folder that Spark's file systems can write, so writes are atomic and any
+storage will do, with three tables, ``header`` (a row: format, end id, number of
+documents, ids and ranks), ``ranks`` and ``blocks``.  ``write(..., to=path)`` makes it and
+``open_file(spark, path)`` reads it.  Of a block, ``part``, ``block`` and ``start`` (ids of
 the part before the block) place a block; ``doc_ids`` and ``lens`` name its
 documents; ``ctrl`` holds two bits per value (its bytes minus one, four values a
 byte), ``data`` the values' bytes.  A value is the *rank* of an id by frequency,
-so the 256 most frequent ids take one byte each.  ``ranks`` is a second table.
+so the 256 most frequent ids take one byte each.
 
 Rows are put in ascending order of doc_id by one range partitioning of the
 encoded ids; a part's first offset is the sum of the parts before it (one number
@@ -15,16 +17,19 @@ a part reaches the driver).
 from __future__ import annotations
 
 import json
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import SLICE, broadcast_spec, codec_of
 from .common import Scratch, one_array, resting, slices
 
+#: What the header says.
+FORMAT = "ranked stream-vbyte 1"
 #: Ids in a block, but that a document is never split between blocks.
 BLOCK_IDS = 1 << 18
 
@@ -153,18 +158,31 @@ class TokenFile:
         return self.blocks.mapInArrow(resting(run), f"doc_id {sql}, start bigint, n_tokens bigint, {names[3]} {'binary' if whole else 'bigint'}")
 
 
-def write(docs: DataFrame, path: str, scratch: Scratch, end_id: int = 0) -> TokenFile:
+def open_file(spark: SparkSession, path: str) -> TokenFile:
+    """A file that write(..., to=path) has written; ValueError if it is of another format."""
+    path = path.rstrip("/")
+    header = spark.read.parquet(f"{path}/header").first()
+    if header is None or header["format"] != FORMAT:
+        raise ValueError(f"no token file of format {FORMAT}: {path}")
+    out = TokenFile(spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/ranks"))
+    out.header = header.asDict()
+    return out
+
+
+def write(docs: DataFrame, path: str, scratch: Scratch, end_id: int = 0, to: str | None = None) -> TokenFile:
     """Encodes every text, appends end_id and writes the file in ascending doc_id order.
 
-    Null text: only the end id.  Null doc_ids come first; rows of one doc_id
-    follow each other in the order of their ids, repeated rows stay repeated.
-    An empty table gives an empty file.  Further columns are ignored.
+    path: the tokenizer; to: a folder that doesn't exist yet (else the shared
+    folder, until the session ends).  Null text: only the end id.  Null doc_ids
+    come first; rows of one doc_id follow each other in the order of their ids'
+    bytes, repeated rows stay repeated.  An empty table gives an empty file.
+    Further columns are ignored.
     """
     spark = docs.sparkSession
     encoded = scratch.write(_encoded(docs, path, end_id), "encoded")
     counted = [(r.id, r.n) for r in _frequencies(encoded).collect()]  # as many as the vocabulary has at most
     by_rank = [i for i, _ in sorted(counted, key=lambda x: (-x[1], x[0]))]
-    ranks = scratch.write(spark.createDataFrame([(k, i) for k, i in enumerate(by_rank)], "rank bigint, id bigint").coalesce(1), "ranks")
+    ranks = spark.createDataFrame([(k, i) for k, i in enumerate(by_rank)], "rank bigint, id bigint").coalesce(1)
     rank_of = np.zeros(max(by_rank, default=0) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank))
     table = spark.sparkContext.broadcast(rank_of)
@@ -205,6 +223,12 @@ def write(docs: DataFrame, path: str, scratch: Scratch, end_id: int = 0) -> Toke
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(to_arrow_type(docs.schema["doc_id"].dataType))), ("lens", pa.list_(pa.int32())), ("ctrl", pa.binary()), ("data", pa.binary())])
     ordered = encoded.filter(F.col("counts").isNull()).select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     blocks = ordered.mapInArrow(resting(run), f"part int, block int, start bigint, n bigint, doc_ids array<{sql}>, lens array<int>, ctrl binary, data binary")
-    out = TokenFile(scratch.write(blocks, "blocks", codec="snappy"), ranks)
+    root = (to or f"{scratch.root}/tokens-{uuid.uuid4().hex}").rstrip("/")
+    blocks.write.option("compression", "snappy").parquet(f"{root}/blocks")
+    ranks.write.parquet(f"{root}/ranks")
+    sums = spark.read.parquet(f"{root}/blocks").agg(F.coalesce(F.sum(F.size("doc_ids")), F.lit(0)).alias("d"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    row = (FORMAT, end_id, sums["d"], sums["n"], len(by_rank))
+    # the header comes last: a folder without one is no whole file
+    spark.createDataFrame([row], "format string, end_id int, n_docs bigint, n_ids bigint, n_ranks int").coalesce(1).write.parquet(f"{root}/header")
     scratch.drop(encoded)
-    return out
+    return open_file(spark, root)

@@ -75,6 +75,20 @@ def test_awkward_rows(awkward_docs, awkward_rows, no_docs, library, spark):
     assert tokenfile.write(no_docs, tokenizer_path(), Scratch(spark, "test")).digest().collect() == []
 
 
+def test_a_token_file_at_a_path_of_ones_own(spark, awkward_docs, no_docs, tmp_path):
+    f = tokenfile.write(awkward_docs, tokenizer_path(), Scratch(spark, "test"), to=f"{tmp_path}/tokens")
+    g = tokenfile.open_file(spark, f"{tmp_path}/tokens")
+    key = lambda r: r.start
+    assert sorted(map(tuple, f.read().collect()), key=lambda r: r[1]) == sorted(map(tuple, g.read().collect()), key=lambda r: r[1])
+    rows = sorted(g.read().collect(), key=key)
+    assert (g.header["n_docs"], g.header["n_ids"]) == (len(rows), sum(r.n_tokens for r in rows)) and [len(r.ids) for r in rows] == [4 * r.n_tokens for r in rows]
+    tokenfile.write(no_docs, tokenizer_path(), Scratch(spark, "test"), to=f"{tmp_path}/none")
+    assert tokenfile.open_file(spark, f"{tmp_path}/none").digest().collect() == []
+    spark.range(1).selectExpr("'other' as format").write.parquet(f"{tmp_path}/bad/header")
+    with pytest.raises(ValueError):
+        tokenfile.open_file(spark, f"{tmp_path}/bad")
+
+
 def test_encode_and_decode_frames(spark, library):
     rows = [(1, "Hello there, world"), (2, None), (3, "")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
