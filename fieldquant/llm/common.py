@@ -102,6 +102,11 @@ class Scratch:
     def drop_part(self, df: DataFrame, part: str) -> None:
         """One folder of a table that was written by a column."""
         self._fs.delete(self._path(f"{df._scratch_path}/{part}"), True)
+        self.tidy()
+
+    def tidy(self) -> None:
+        """Shuffle files of finished queries go as soon as the driver's JVM has collected their plans."""
+        self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *frames: DataFrame | None) -> None:
         for df in frames:
