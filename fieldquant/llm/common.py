@@ -87,10 +87,11 @@ class Scratch:
     def _path(self, p: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
 
-    def write(self, df: DataFrame, name: str, codec: str = "zstd", by: str | None = None, narrow: bool = False) -> DataFrame:
-        """df as a table.  narrow: of ids and numbers only, so an eighth of the partitions that texts need are enough files."""
-        if narrow:
-            df = df.coalesce(max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    def write(self, df: DataFrame, name: str, codec: str = "zstd", by: str | None = None, narrow: bool = False, dealt: bool = False) -> DataFrame:
+        """df as a table.  narrow: of ids and numbers only, so an eighth of the partitions that texts need are enough files;
+        dealt: it is narrow, but what makes it is not, so its rows are dealt anew instead of making it in fewer tasks."""
+        few = max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+        df = df.repartition(few) if dealt else df.coalesce(few) if narrow else df
         self._n += 1
         at = f"{self.root}/{self._n:03d}-{name}"
         w = df.write.option("compression", codec)

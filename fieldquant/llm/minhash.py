@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # one vertex for equal sets: its smallest doc_id; copies meet in a partial aggregate
     by_band = full.select("n", "h1", "h2", "doc_id", F.explode("bands").alias("band")).groupBy("band", "n", "h1", "h2").agg(F.min("doc_id").alias("node")).select("band", "node")
     buckets = by_band.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("least")).filter("size > 1").withColumnRenamed("band", "key")
-    members = scratch.write(by_band.join(buckets, F.col("band") == F.col("key")).select("band", "node", "size", "least"), "members", narrow=True)
+    members = scratch.write(by_band.join(buckets, F.col("band") == F.col("key")).select("band", "node", "size", "least"), "members", dealt=True)
     # signatures and full sets of all members of such buckets; by shuffle at any size, the list of members grows with the corpus
     nodes = members.select("node").distinct()
     sigs = full.select(F.col("doc_id").alias("node"), "h1", "sig", "bands").join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node", "h1"])
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     rest = placed.filter("size > 2").join(mixed, F.col("band") == F.col("key"), "left_semi")
     for payload in (sigs, sets):
         rest = rest.join(payload.withColumnRenamed("node", "w"), F.col("node") == F.col("w")).drop("w")
-    more = scratch.write(_blocks(rest, least, percent), "more", narrow=True)
+    more = scratch.write(_blocks(rest, least, percent), "more", dealt=True)
     if more.take(1):
         stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
         comps = connected(more.unionByName(stars), scratch, "a", "b")
