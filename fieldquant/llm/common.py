@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import os
 import tempfile
 import uuid
@@ -106,7 +107,8 @@ class Scratch:
         self.tidy()
 
     def tidy(self) -> None:
-        """Shuffle files of finished queries go as soon as the driver's JVM has collected their plans."""
+        """Shuffle files of finished queries go as soon as Python and then the driver's JVM have collected their plans."""
+        gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *frames: DataFrame | None) -> None:
