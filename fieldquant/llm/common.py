@@ -17,6 +17,7 @@ import functools
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -108,8 +109,10 @@ class Scratch:
 
     def tidy(self) -> None:
         """Shuffle files of finished queries go as soon as Python and then the driver's JVM have collected their plans."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the first round may come before the query's last event has been heard
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop(self, *frames: DataFrame | None) -> None:
         for df in frames:
