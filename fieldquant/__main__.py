@@ -45,8 +45,7 @@ def _parser() -> argparse.ArgumentParser:
 def _field(spark: SparkSession, a: argparse.Namespace, path: str) -> DataFrame:
     shape = Shape.parse(a.shape) if a.shape else None
     if a.dtype:
-        rawbinary.register(spark)
-        return fields.from_table(spark.read.format("rawbinary").option("dtype", a.dtype).load(path), "i", "v", shape)
+        return fields.from_table(rawbinary.read(spark, path, a.dtype), "i", "v", shape)
     return fields.from_table(spark.read.format(a.format).load(path), a.index, a.value, shape)
 
 
@@ -58,7 +57,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         if a.dtype:
             rawbinary.register(spark)
             kind = "float" if a.dtype == "f4" else "double"
-            back.selectExpr("i", f"cast(v as {kind}) as v").write.format("rawbinary").option("dtype", a.dtype).mode("append").save(a.to)
+            back.selectExpr("i", f"cast(v as {kind}) as v").sortWithinPartitions("i").write.format("rawbinary").option("dtype", a.dtype).mode("append").save(a.to)
         else:
             back.write.mode("overwrite").format(a.format).save(a.to)
         if a.compare:

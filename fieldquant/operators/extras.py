@@ -30,6 +30,16 @@ def variogram(df: DataFrame, lags: tuple[int, ...], every: int = 1) -> DataFrame
     return lag_pairs(df, lags, every).groupBy("field_id", "lag").agg(F.count("*").alias("n"), F.avg(F.abs(d)).alias("madogram"), F.avg(d * d).alias("squared"), F.avg((d != 0).cast("double")).alias("binary"))
 
 
+def variogram_2d(df: DataFrame, offsets: tuple[tuple[int, int], ...]) -> DataFrame:
+    """field_id, dx, dy, n, and means of absolute and squared differences of points (x, y) and (x + dx, y + dy)."""
+    to = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in offsets])
+    a = df.select("field_id", F.col("v").alias("o"), F.explode(to).alias("p"))
+    b = df.select(F.col("field_id").alias("__f"), F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("v").alias("w"))
+    d = F.col("w") - F.col("o")
+    both = a.join(b, (F.col("field_id") == F.col("__f")) & (F.col("p.x") == F.col("__x")) & (F.col("p.y") == F.col("__y")))
+    return both.groupBy("field_id", F.col("p.dx").alias("dx"), F.col("p.dy").alias("dy")).agg(F.count("*").alias("n"), F.avg(F.abs(d)).alias("madogram"), F.avg(d * d).alias("squared"))
+
+
 def variogram_fit(vario: DataFrame, y: str = "madogram") -> DataFrame:
     """The regression of a variogram on distance."""
     return vario.groupBy("field_id").agg(F.regr_slope(y, "lag").alias("slope"), F.regr_intercept(y, "lag").alias("intercept"), F.regr_r2(y, "lag").alias("r2"))
@@ -79,12 +89,14 @@ def plane_ratios(bits: DataFrame, width: int = 4, chunk: int = 65_536) -> DataFr
 
 
 def shuffled_blocks(df: DataFrame, tile: int, share: float, seed: int) -> DataFrame:
-    """v permuted inside a sampled share of the tiles; the sample and the order come from hashes, so reruns agree."""
+    """v permuted inside a sampled share of the tiles; the sample and the order come from MD5 of seed and number, so reruns
+    agree, in SQL too."""
     t = with_tiles(df, (tile,))
-    chosen = F.pmod(F.xxhash64(F.lit(seed), "field_id", "tx"), F.lit(1_000_000)) < int(share * 1_000_000)
+    mark = lambda c: F.md5(F.concat_ws(":", F.lit(str(seed)), c.cast("string")).cast("binary"))
+    chosen = F.conv(F.substring(mark(F.col("tx")), 1, 8), 16, 10).cast("bigint") % 1_000_000 < int(share * 1_000_000)
     keys = tile_keys((tile,))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("x"))
-    order = F.when(chosen, F.xxhash64(F.lit(seed), "i")).otherwise(F.col("x"))
+    order = F.when(chosen, mark(F.col("i")))
     a = t.withColumn("r", place).drop("v")
     b = t.select(*[F.col(k).alias(f"__{k}") for k in keys], F.row_number().over(Window.partitionBy(*keys).orderBy(order, "x")).alias("__r"), "v")
     return a.join(b, [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("r") == F.col("__r")]).select("field_id", "i", "x", "y", "z", "v")

@@ -1,14 +1,21 @@
-"""Bit-plane shuffling with removal of zero groups; expressions only.
+"""Bit-plane shuffling with removal of zero groups.
 
 Two 16-bit codes make a word; 32 words are a 32 x 32 bit matrix whose transpose
 holds one word a bit plane.  1024 words are a chunk; of its transposed words,
-groups of four that are all zero are dropped and remembered by a flag.
+groups of four that are all zero are dropped and remembered by a flag.  words()
+and transpose() are expressions on long rows; encode() and decode() do the same for
+chunks as arrays, with one shuffle by chunk.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..shipping import ship
 
 WORDS, LANES, GROUP = 1024, 32, 4
 
@@ -28,24 +35,61 @@ def transpose(w: DataFrame, word: str = "word") -> DataFrame:
     return t.select("field_id", (F.col("row") * LANES + F.col("bit")).alias("w"), "word")
 
 
+def _swapped(w: np.ndarray) -> np.ndarray:
+    """Bit planes of rows of 32 words, and back."""
+    bits = np.unpackbits(w.astype("<u4").view(np.uint8), bitorder="little").reshape(-1, LANES, LANES)
+    return np.packbits(bits.transpose(0, 2, 1), axis=None, bitorder="little").view("<u4")
+
+
+def encode_chunk(codes: np.ndarray) -> tuple[bytes, bytes]:
+    """(flags, one bit a group; the groups with a bit set) of up to 2 * WORDS codes."""
+    full = np.zeros(2 * WORDS, "<u2")
+    full[: len(codes)] = codes
+    groups = _swapped(full.view("<u4")).reshape(-1, GROUP)
+    live = groups.any(axis=1)
+    return np.packbits(live, bitorder="little").tobytes(), groups[live].tobytes()
+
+
+def decode_chunk(flags: bytes, payload: bytes, n: int) -> np.ndarray:
+    groups = np.zeros((WORDS // GROUP, GROUP), "<u4")
+    groups[np.unpackbits(np.frombuffer(flags, np.uint8), bitorder="little").astype(bool)] = np.frombuffer(payload, "<u4").reshape(-1, GROUP)
+    return _swapped(groups.reshape(-1)).view("<u2")[:n]
+
+
 def encode(df: DataFrame, code: str = "code") -> DataFrame:
-    """field_id, chunk, g (group in the chunk), word0..word3 of the groups with a bit set; what is absent is zero."""
-    t = transpose(words(df, code))
-    g = t.groupBy("field_id", F.floor(F.col("w") / WORDS).alias("chunk"), (F.floor(F.col("w") / GROUP) % (WORDS // GROUP)).alias("g"))
-    return g.agg(*[F.sum(F.when(F.col("w") % GROUP == k, F.col("word")).otherwise(F.lit(0))).alias(f"word{k}") for k in range(GROUP)])
+    """field_id, chunk, n (codes), flags, payload; indices of a field are dense from 0."""
+    ship(df.sparkSession)
+    d = df.select("field_id", "i", F.col(code).cast("int").alias("code"), F.floor(F.col("i") / (2 * WORDS)).alias("chunk"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("i")
+        flags, payload = encode_chunk(t.column("code").to_numpy())
+        return pa.table({"field_id": t.column("field_id").slice(0, 1), "chunk": t.column("chunk").slice(0, 1), "n": pa.array([len(t)], pa.int32()), "flags": pa.array([flags], pa.binary()), "payload": pa.array([payload], pa.binary())})
 
+    return d.groupBy("field_id", "chunk").applyInArrow(run, "field_id string, chunk bigint, n int, flags binary, payload binary")
 
-def sizes(groups: DataFrame) -> DataFrame:
+
+def starts(chunks: DataFrame) -> DataFrame:
+    """Adds start: bytes of the field's payloads before each chunk (one row a chunk in a window)."""
+    w = Window.partitionBy("field_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return chunks.withColumn("start", F.coalesce(F.sum(F.length("payload").cast("bigint")).over(w), F.lit(0)))
+
+
+def sizes(chunks: DataFrame) -> DataFrame:
     """field_id, chunk, kept groups, bytes with the flags: what the encoded chunk takes."""
-    return groups.groupBy("field_id", "chunk").agg(F.count("*").alias("kept")).withColumn("bytes", F.col("kept") * 4 * GROUP + WORDS // GROUP // 8)
-
-
-def decode(groups: DataFrame, fields: DataFrame) -> DataFrame:
-    """field_id, i, code of every place of `fields` (field_id, i)."""
-    w = F.explode(F.array(*[F.struct((F.col("chunk") * WORDS + F.col("g") * GROUP + k).alias("w"), F.col(f"word{k}").alias("word")) for k in range(GROUP)]))
-    back = transpose(groups.select("field_id", w.alias("x")).select("field_id", "x.w", "x.word"))
-    back = back.select(F.col("field_id").alias("__f"), F.col("w").alias("__w"), "word")
-    f = fields.select("field_id", "i").withColumn("w", F.floor(F.col("i") / 2))
-    j = f.join(back, (F.col("field_id") == F.col("__f")) & (F.col("w") == F.col("__w")), "left")
-    word = F.coalesce("word", F.lit(0).cast("bigint"))
-    return j.select("field_id", "i", F.when(F.col("i") % 2 == 0, word.bitwiseAND(F.lit(0xFFFF))).otherwise(F.shiftright(word, 16)).cast("int").alias("code"))
+    kept = (F.length("payload") / (4 * GROUP)).cast("bigint")
+    return chunks.select("field_id", "chunk", kept.alias("kept"), (F.length("payload") + F.length("flags")).cast("bigint").alias("bytes")).filter("kept > 0")
+
+
+def decode(chunks: DataFrame) -> DataFrame:
+    """field_id, i, code."""
+    ship(chunks.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                codes = decode_chunk(*(b.column(c)[r].as_py() for c in ("flags", "payload", "n")))
+                first = b.column("chunk")[r].as_py() * 2 * WORDS
+                yield pa.RecordBatch.from_arrays([pa.array([b.column("field_id")[r].as_py()] * len(codes), pa.string()), pa.array(np.arange(first, first + len(codes))), pa.array(codes.astype(np.int32))], names=["field_id", "i", "code"])
+
+    return chunks.select("field_id", "chunk", "n", "flags", "payload").mapInArrow(run, "field_id string, i bigint, code int")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import ship
+from ..sources.fields import beside
 
 CHUNK = 4096
 MOST_BITS = 58
@@ -100,7 +101,7 @@ def pack(words: np.ndarray, lens: np.ndarray) -> bytes:
 
 
 def unpack(payload: bytes, n: int, words: np.ndarray, lens: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """n symbols: what each bit position would start is looked up for all at once, then the chain is followed."""
+    """n symbols: what each bit position would start is looked up for all at once, then all chains of positions are doubled."""
     most = int(lens.max())
     order = np.argsort(words << (most - lens))
     left = (words << (most - lens))[order]
@@ -110,19 +111,20 @@ def unpack(payload: bytes, n: int, words: np.ndarray, lens: np.ndarray, symbols:
     for k in range(most):
         value = value << 1 | padded[k : k + len(bits)]
     entry = np.searchsorted(left, value, side="right") - 1
-    step = lens[order][entry].tolist()
-    at, out = 0, [0] * n
-    for k in range(n):
-        out[k] = at
-        at += step[at]
-    return symbols[order][entry[out]]
+    # jump[p]: where the symbol after 2^k others begins; the last place leads to itself
+    jump = np.append(np.minimum(np.arange(len(bits)) + lens[order][entry], len(bits)), len(bits))
+    at = np.zeros(1, np.int64)
+    while len(at) < n:
+        at = np.concatenate([at, jump[at]])
+        jump = jump[jump]
+    return symbols[order][entry[at[:n]]]
 
 
 def encode(df: DataFrame, book: DataFrame, code: str = "code", chunk: int = CHUNK) -> DataFrame:
-    """field_id, chunk, n, nbit, payload.  The book has a bounded number of rows a field."""
+    """field_id, chunk, n, nbit, payload.  A few fields' books are sent to every executor."""
     ship(df.sparkSession)
-    b = book.select(F.col("field_id").alias("__f"), F.col("code").alias("__c"), "len", "word")
-    d = df.join(b, (F.col("field_id") == F.col("__f")) & (F.col(code) == F.col("__c"))).select("field_id", "i", "len", "word", F.floor(F.col("i") / chunk).alias("chunk"))
+    d = beside(df.select("field_id", "i", F.col(code).alias("code")), book.select("field_id", "code", "len", "word"), ["field_id", "code"])
+    d = d.select("field_id", "i", "len", "word", F.floor(F.col("i") / chunk).alias("chunk"))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("i")
@@ -139,11 +141,40 @@ def entries(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("ncell", F.ceil(F.col("nbit") / 32)).withColumn("entry", F.coalesce(F.sum("ncell").over(w), F.lit(0)))
 
 
+def ratios(chunks: DataFrame, width: int = 4) -> DataFrame:
+    """field_id, chunk, ratio: how much each chunk's bits save of elements of so many bytes."""
+    return chunks.select("field_id", "chunk", (F.col("n") * (8.0 * width) / F.col("nbit")).alias("ratio"))
+
+
+def dense(chunks: DataFrame, segment: int = 1024) -> DataFrame:
+    """field_id, segment, nbit, ncell, entry (lists over its chunks; entry counts from the field's begin), stream: chunks end
+    to end, each filled up to whole 32-bit cells.  A segment is a bounded number of chunks."""
+    ship(chunks.sparkSession)
+    e = entries(chunks).withColumn("segment", F.floor(F.col("chunk") / segment))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("chunk")
+        stream = b"".join(p.ljust(4 * n, b"\0") for p, n in zip(t.column("payload").to_pylist(), t.column("ncell").to_pylist()))
+        lists = [pa.array([t.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("n", "nbit", "ncell", "entry")]
+        return pa.Table.from_arrays([t.column("field_id").slice(0, 1), t.column("segment").slice(0, 1), *lists, pa.array([stream], pa.binary())], names=["field_id", "segment", "n", "nbit", "ncell", "entry", "stream"])
+
+    kinds = "field_id string, segment bigint, n array<bigint>, nbit array<bigint>, ncell array<bigint>, entry array<bigint>, stream binary"
+    return e.select("field_id", "segment", "chunk", "n", "nbit", "ncell", "entry", "payload").groupBy("field_id", "segment").applyInArrow(run, kinds)
+
+
+def undense(segments: DataFrame, segment: int = 1024) -> DataFrame:
+    """The chunks of dense(): field_id, chunk, n, nbit, payload."""
+    s = segments.select("field_id", "segment", "stream", F.element_at("entry", 1).alias("first"), F.posexplode(F.arrays_zip("n", "nbit", "ncell", "entry")).alias("k", "c"))
+    at = ((F.col("c.entry") - F.col("first")) * 4 + 1).cast("int")
+    payload = F.substring("stream", at, F.ceil(F.col("c.nbit") / 8).cast("int"))
+    return s.select("field_id", (F.col("segment") * segment + F.col("k")).alias("chunk"), F.col("c.n").cast("int").alias("n"), F.col("c.nbit").alias("nbit"), payload.alias("payload"))
+
+
 def decode(chunks: DataFrame, book: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """field_id, i, code; indices of a field are dense from 0.  A chunk meets its field's book as one row."""
     ship(chunks.sparkSession)
-    rows = book.groupBy("field_id").agg(F.sort_array(F.collect_list(F.struct("code", "len", "word"))).alias("book")).withColumnRenamed("field_id", "__f")
-    both = chunks.select("field_id", "chunk", "n", "payload").join(rows, F.col("field_id") == F.col("__f")).drop("__f")
+    rows = book.groupBy("field_id").agg(F.sort_array(F.collect_list(F.struct("code", "len", "word"))).alias("book"))
+    both = beside(chunks.select("field_id", "chunk", "n", "payload"), rows)
 
     def run(batches):
         for b in batches:

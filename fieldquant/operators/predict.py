@@ -66,6 +66,22 @@ def inverse_untiled(df: DataFrame, d: str = "d", out: str = "q", block: int = 65
     return out_df.withColumn(out, F.col(out) + F.col("__before")).drop("__b", "__c", "__f", "__before")
 
 
+def forward_lines(df: DataFrame, ndim: int, q: str = "q", out: str = "d") -> DataFrame:
+    """Differences over whole fields of two or three dimensions, without tiles: along each axis, line by line."""
+    return _lines_of(df, ndim, q, out, lambda c, w: F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0)))
+
+
+def inverse_lines(df: DataFrame, ndim: int, d: str = "d", out: str = "q") -> DataFrame:
+    return _lines_of(df, ndim, d, out, lambda c, w: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _lines_of(df: DataFrame, ndim: int, of: str, out: str, step) -> DataFrame:
+    df = df.withColumn(out, F.col(of))
+    for axis in "xyz"[:ndim]:
+        df = df.withColumn(out, step(out, Window.partitionBy("field_id", *[a for a in "xyz"[:ndim] if a != axis]).orderBy(axis)))
+    return df
+
+
 def zero_share(d: Column) -> Column:
     """Aggregate: share of elements that are predicted exactly."""
     return F.count_if(d == 0) / F.count("*")

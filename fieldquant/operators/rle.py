@@ -18,11 +18,15 @@ def encode(df: DataFrame, v: str = "code", block: int = 65_536) -> DataFrame:
     b = b.withColumn("new", (~F.col("value").eqNullSafe(F.lag("value").over(w)) | F.lag("i").over(w).isNull()).cast("int"))
     b = b.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = b.groupBy("field_id", "b", "run", "value").agg(F.min("i").alias("start"), F.count("*").alias("len"))
-    # across blocks
-    u = Window.partitionBy("field_id").orderBy("start")
-    runs = runs.withColumn("new", (~F.col("value").eqNullSafe(F.lag("value").over(u)) | F.lag("start").over(u).isNull()).cast("int"))
-    runs = runs.withColumn("all", F.sum("new").over(u.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("field_id", "all", "value").agg(F.min("start").alias("start"), F.sum("len").alias("len")).select("field_id", "start", "len", "value")
+    # across blocks: only a block's first and last run can be part of a longer one
+    edge = Window.partitionBy("field_id", "b")
+    runs = runs.withColumn("head", F.col("start") == F.min("start").over(edge)).withColumn("tail", F.col("start") == F.max("start").over(edge))
+    inner, outer = runs.filter(~(F.col("head") | F.col("tail"))), runs.filter(F.col("head") | F.col("tail"))
+    u = Window.partitionBy("field_id").orderBy("start")  # two rows a block
+    new = ~F.col("head") | ~F.col("value").eqNullSafe(F.lag("value").over(u)) | F.lag("start").over(u).isNull()
+    outer = outer.withColumn("all", F.sum(new.cast("int")).over(u.rowsBetween(Window.unboundedPreceding, 0)))
+    outer = outer.groupBy("field_id", "all", "value").agg(F.min("start").alias("start"), F.sum("len").alias("len"))
+    return inner.select("field_id", "start", "len", "value").unionByName(outer.select("field_id", "start", "len", "value"))
 
 
 def decode(runs: DataFrame) -> DataFrame:

@@ -1,11 +1,16 @@
-"""Predictors that read what they have reconstructed, one tile at a time.
+"""Predictors that read what they have reconstructed: loop-carried, so no window.
 
-The recursion along a tile can't be a window.  Tiles are rows (arrays), and all
-tiles of a batch advance together: a loop over places, vectorised over tiles.
+In tiles, all tiles of a batch advance together: a loop over the places of a tile,
+vectorised over tiles.  Over a whole field the recursion runs through every
+element; elements come in order and only the last line (of two dimensions) or plane
+(of three) is held, so memory doesn't grow with a field, but a field is one task.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,48 +19,96 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from ..sources.fields import tile_keys, with_tiles
 
+#: Tiles of one, two and three dimensions.
+TILES = {1: (256,), 2: (16, 16), 3: (8, 8, 8)}
+
+
+def neighbours(ndim: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(sign, offsets back along each axis) of the points that predict one: inclusion and exclusion of a corner."""
+    return [((-1) ** (sum(o) + 1), o) for o in itertools.product((0, 1), repeat=ndim) if any(o)]
+
+
+def quantized(v, guess, eb, radius: int):
+    """(codes, reconstruction): the error in steps of twice the bound, code 0 and the value itself if it has too many."""
+    e = v - guess
+    step = np.floor((np.floor(np.abs(e) / eb) + 1) / 2) * np.sign(e)
+    near = guess + step * 2 * eb
+    ok = (np.abs(step) < radius) & (np.abs(near - v) <= eb)
+    return np.where(ok, step + radius, 0).astype(np.int64), np.where(ok, near, v)
+
+
+def walk(shape: tuple[int, ...], n: int, visit) -> np.ndarray:
+    """n tiles of a shape filled place by place: visit(place, guess) -> values; outside of a tile all is 0."""
+    x = np.zeros((n, *(s + 1 for s in shape)))
+    signs = neighbours(len(shape))
+    for place in itertools.product(*map(range, shape)):
+        guess = sum(sign * x[(slice(None), *(p + 1 - o for p, o in zip(place, back)))] for sign, back in signs)
+        x[(slice(None), *(p + 1 for p in place))] = visit(place, guess)
+    return x[(slice(None), *(slice(1, None),) * len(shape))]
+
 
 def quantize_tiles(v: np.ndarray, eb: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, reconstruction) of tiles v (tiles x places): each error from the last reconstructed value; code 0: stored as is."""
-    codes, back = np.zeros(v.shape, np.int64), np.zeros(v.shape)
-    last = np.zeros(len(v))
-    for k in range(v.shape[1]):
-        e = v[:, k] - last
-        step = np.floor((np.floor(np.abs(e) / eb) + 1) / 2) * np.sign(e)
-        near = last + step * 2 * eb
-        ok = (np.abs(step) < radius) & (np.abs(near - v[:, k]) <= eb)
-        codes[:, k] = np.where(ok, step + radius, 0)
-        back[:, k] = last = np.where(ok, near, v[:, k])
-    return codes, back
+    """(codes, reconstruction) of tiles v (tiles x places along each axis, slowest first)."""
+    codes = np.zeros(v.shape, np.int64)
+
+    def visit(place, guess):
+        at = (slice(None), *place)
+        codes[at], near = quantized(v[at], guess, eb, radius)
+        return near
+
+    return codes, walk(v.shape[1:], len(v), visit)
 
 
 def rebuild_tiles(codes: np.ndarray, kept: np.ndarray, eb: np.ndarray, radius: int) -> np.ndarray:
-    out, last = np.zeros(codes.shape), np.zeros(len(codes))
-    for k in range(codes.shape[1]):
-        last = np.where(codes[:, k] == 0, kept[:, k], last + (codes[:, k] - radius) * 2 * eb)
-        out[:, k] = last
-    return out
+    def visit(place, guess):
+        c = codes[(slice(None), *place)]
+        return np.where(c == 0, kept[(slice(None), *place)], guess + (c - radius) * 2 * eb)
+
+    return walk(codes.shape[1:], len(codes), visit)
 
 
-def blocked_round_trip(df: DataFrame, tile: int = 256, radius: int = 512) -> DataFrame:
-    """field_id, i, code, v, xv of a field of one dimension with eb: quantized and rebuilt."""
+def _in_tiles(df: DataFrame, tile: tuple[int, ...], value: str, work, kinds: list[tuple[str, str]], *more: str) -> DataFrame:
+    """field_id, i and the columns that work(values of tiles, more columns of tiles) makes of each place.
+
+    Places of a tile beyond the field count as 0; nothing inside is predicted from them.
+    """
     ship(df.sparkSession)
-    t = with_tiles(df, (tile,)).groupBy(*tile_keys((tile,)), "eb").agg(F.sort_array(F.collect_list(F.struct("i", F.col("v").cast("double").alias("v")))).alias("a"))
+    places = math.prod(tile)
+    at = F.lit(0)
+    for axis, size in reversed(list(zip("xyz", tile))):
+        at = at * size + F.col(axis) % size
+    cell = F.struct(at.cast("int").alias("at"), "i", F.col(value).cast("double").alias("v"))
+    t = with_tiles(df, tile).groupBy(*tile_keys(tile), *more).agg(F.collect_list(cell).alias("a"))
+    types = {"int": pa.int32(), "double": pa.float64()}
 
     def run(batches):
         for b in batches:
-            lists = b.column("a")
-            for n in sorted(set(len(x) for x in lists)):  # the last tile of a field may be short
-                at = [k for k in range(b.num_rows) if len(lists[k]) == n]
-                part = lists.take(pa.array(at)).flatten()
-                i, v = part.field(0).to_numpy(), part.field(1).to_numpy().reshape(-1, n)
-                eb = np.maximum(b.column("eb").to_numpy()[at], 1e-300)
-                codes, _ = quantize_tiles(v, eb, radius)
-                back = rebuild_tiles(codes, np.where(codes == 0, v, 0), eb, radius)
-                names = np.repeat(np.array(b.column("field_id").to_pylist(), object)[at], n)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(i), pa.array(codes.reshape(-1), pa.int32()), pa.array(v.reshape(-1)), pa.array(back.reshape(-1))], names=["field_id", "i", "code", "v", "xv"])
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                lists = part.column("a")
+                n = np.array([len(x) for x in lists])
+                flat = lists.flatten()
+                place, i, v = (flat.field(c).to_numpy() for c in range(3))
+                row = np.repeat(np.arange(len(n)), n)
+                full = np.zeros((len(n), places))
+                full[row, place] = v
+                out = work(full.reshape(len(n), *reversed(tile)), *(part.column(c).to_numpy() for c in more))
+                names = np.repeat(np.array(part.column("field_id").to_pylist(), object), n)
+                columns = [pa.array(x.reshape(len(n), -1)[row, place], types[kind]) for x, (_, kind) in zip(out, kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(i), *columns], names=["field_id", "i", *(c for c, _ in kinds)])
 
-    return t.mapInArrow(run, "field_id string, i bigint, code int, v double, xv double")
+    return t.mapInArrow(run, "field_id string, i bigint, " + ", ".join(f"{c} {k}" for c, k in kinds))
+
+
+def blocked_round_trip(df: DataFrame, ndim: int = 1, tile: tuple[int, ...] | None = None, radius: int = 512) -> DataFrame:
+    """field_id, i, code, v, xv of a field with eb: quantized and rebuilt tile by tile."""
+
+    def work(v, eb):
+        eb = np.maximum(eb, 1e-300)
+        codes, _ = quantize_tiles(v, eb, radius)
+        return codes, v, rebuild_tiles(codes, np.where(codes == 0, v, 0), eb, radius)
+
+    return _in_tiles(df, tile or TILES[ndim], "v", work, [("code", "int"), ("v", "double"), ("xv", "double")], "eb")
 
 
 def prequantized_round_trip(df: DataFrame, q: str = "q", tile: int = 256, radius: int = 512) -> DataFrame:
@@ -73,3 +126,84 @@ def prequantized_round_trip(df: DataFrame, q: str = "q", tile: int = 256, radius
     t = t.withColumn("segment", F.sum(F.col("out").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     s = Window.partitionBy(*tile_keys((tile,)), "segment").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     return t.withColumn("back", F.sum(F.when(F.col("out"), F.col(q)).otherwise(F.col("d"))).over(s)).select("field_id", "i", q, "back")
+
+
+def prequantized_tiles(df: DataFrame, ndim: int, q: str = "q", tile: tuple[int, ...] | None = None, radius: int = 512) -> DataFrame:
+    """The same in two and three dimensions, where an outlier's value enters several sums: field_id, i, q, out (1: stored as
+    is), back."""
+
+    def work(v):
+        out = np.zeros(v.shape, np.int64)
+        kept = np.zeros(v.shape)
+
+        def forward(place, guess):
+            at = (slice(None), *place)
+            out[at] = np.abs(v[at] - guess) >= radius
+            kept[at] = np.where(out[at], v[at], v[at] - guess)
+            return v[at]
+
+        walk(v.shape[1:], len(v), forward)
+        back = walk(v.shape[1:], len(v), lambda place, guess: kept[(slice(None), *place)] + np.where(out[(slice(None), *place)], 0, guess))
+        return v, out, back
+
+    return _in_tiles(df, tile or TILES[ndim], q, work, [(q, "double"), ("out", "int"), ("back", "double")])
+
+
+class _Whole:
+    """The recursion over one field in the order of i: lx and ly say how far back neighbours are."""
+
+    def __init__(self, ndim: int, lx: int, ly: int, eb: float, radius: int):
+        strides = (1, lx, lx * ly)[:ndim]
+        self.back = [(sign, sum(o * s for o, s in zip(offsets, strides)), offsets) for sign, offsets in neighbours(ndim)]
+        self.lx, self.ly, self.eb, self.radius = lx, ly, eb, radius
+        self.reach = sum(strides)
+        self.ring = [0.0] * (self.reach + 1)
+
+    def guess(self, i: int) -> float:
+        place = (i % self.lx, (i // self.lx) % self.ly, i // (self.lx * self.ly)) if self.lx else (i,)
+        n = self.reach + 1
+        return sum(sign * self.ring[(i - far) % n] for sign, far, o in self.back if all(p >= b for p, b in zip(place, o)))
+
+    def put(self, i: int, value: float) -> None:
+        self.ring[i % (self.reach + 1)] = value
+
+    def quantize(self, i: int, v: float) -> tuple[int, float]:
+        g = self.guess(i)
+        e = v - g
+        step = (math.floor(abs(e) / self.eb) + 1) // 2
+        near = g + math.copysign(step, e) * 2 * self.eb
+        ok = step < self.radius and abs(near - v) <= self.eb
+        self.put(i, near if ok else v)
+        return (int(math.copysign(step, e)) + self.radius, near) if ok else (0, v)
+
+    def rebuild(self, i: int, code: int, kept: float) -> float:
+        x = kept if code == 0 else self.guess(i) + (code - self.radius) * 2 * self.eb
+        self.put(i, x)
+        return x
+
+
+def whole_round_trip(df: DataFrame, ndim: int = 1, lx: int = 0, ly: int = 0, radius: int = 512) -> DataFrame:
+    """field_id, i, code, v, xv: quantized and rebuilt over whole fields (indices dense from 0), each in one task.
+
+    lx and ly: lengths of x and y where ndim has them to count.
+    """
+    ship(df.sparkSession)
+    if ndim > 1 and not lx or ndim > 2 and not ly:
+        raise ValueError("lengths of the faster axes are needed")
+    lx, ly = lx if ndim > 1 else 0, ly if ndim > 2 else 1 << 62  # in one dimension i is x; in two y has no end
+    t = df.select("field_id", "i", F.col("v").cast("double").alias("v"), F.col("eb").cast("double").alias("eb")).repartition("field_id").sortWithinPartitions("field_id", "i")
+
+    def run(batches):
+        now, there, back = None, None, None
+        for b in batches:
+            names, i, v, eb = (b.column(c).to_pylist() for c in ("field_id", "i", "v", "eb"))
+            codes, out = [0] * len(i), [0.0] * len(i)
+            for k in range(len(i)):
+                if there is None or names[k] != now:
+                    now = names[k]
+                    there, back = (_Whole(ndim, lx, ly, max(eb[k], 1e-300), radius) for _ in range(2))
+                codes[k], _ = there.quantize(i[k], v[k])
+                out[k] = back.rebuild(i[k], codes[k], v[k])
+            yield pa.RecordBatch.from_arrays([b.column("field_id"), b.column("i"), pa.array(codes, pa.int32()), b.column("v"), pa.array(out)], names=["field_id", "i", "code", "v", "xv"])
+
+    return t.mapInArrow(run, "field_id string, i bigint, code int, v double, xv double")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import quant
+from ..sources.fields import beside
 
 TOLERANCE = 1.001
 
@@ -68,20 +69,45 @@ def autocorrelation(df: DataFrame, lags: tuple[int, ...] = (1, 2)) -> DataFrame:
     return out.select("field_id", "lag", "coeff")
 
 
-def value_histogram(df: DataFrame, bins: int = 16) -> DataFrame:
-    """Counts of equal bins between each field's extrema; empty bins have no row."""
-    r = df.groupBy("field_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).withColumnRenamed("field_id", "__f")
-    d = df.join(r, F.col("field_id") == F.col("__f"))
+def value_histogram(df: DataFrame, bins: int = 16, log: bool = False, zoom: tuple[float, float] | None = None) -> DataFrame:
+    """Counts of equal bins between each field's extrema, or between zoom's (values outside are left out); empty bins have
+    no row.  log: of log10 |v|, zeros left out."""
+    if log:
+        df = df.filter("v <> 0").withColumn("v", F.log10(F.abs("v")))
+    if zoom:
+        df = df.filter(F.col("v").between(*map(float, zoom)))
+    d = beside(df, df.groupBy("field_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi")))
     b = F.least(F.lit(bins - 1), F.floor(F.try_divide((F.col("v") - F.col("lo")) * bins, F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)))))
     return d.groupBy("field_id", F.coalesce(b, F.lit(0)).cast("int").alias("bin")).agg(F.count("*").alias("freq"))
 
 
+#: Rank error of the sketches that bracket a percentile, as a share of a field.
+BRACKET = 1e-3
+
+
 def percentiles(df: DataFrame, shares: tuple[float, ...]) -> DataFrame:
-    """Exact percentiles by rank: counts of values, then running sums of one row a value."""
-    c = df.groupBy("field_id", "v").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("field_id").orderBy("v")
-    c = c.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy("field_id")))
-    return c.groupBy("field_id").agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * s), F.col("v"))).alias(f"p{round(100 * s)}") for s in shares])
+    """Exact percentiles by rank.
+
+    Mergeable sketches bracket each percentile; values below a bracket are
+    counted, and only those inside, some hundredths of a field at most, are ranked.
+    """
+    deep = int(2 / BRACKET)
+    v = F.col("v").cast("double")
+    ends = [(max(0.0, s - 2 * BRACKET), min(1.0, s + 2 * BRACKET)) for s in shares]
+    sketch = df.groupBy("field_id").agg(F.percentile_approx(v, [x for e in ends for x in e], deep).alias("q"), F.count("v").alias("n"), F.min(v).alias("least"), F.max(v).alias("most"))
+    brackets = F.array(*[
+        F.struct(F.lit(k).alias("k"), (F.col("least") if e[0] == 0 else F.col("q")[2 * k]).alias("lo"), (F.col("most") if e[1] == 1 else F.col("q")[2 * k + 1]).alias("hi"))
+        for k, e in enumerate(ends)
+    ])
+    each = beside(df.select("field_id", v.alias("v")), sketch.select("field_id", "n", brackets.alias("b"))).select("field_id", "v", "n", F.explode("b").alias("b"))
+    each = each.filter(F.col("v") <= F.col("b.hi"))
+    below = F.col("v") < F.col("b.lo")
+    # all that is below a bracket is one row of it
+    c = each.groupBy("field_id", "n", F.col("b.k").alias("k"), F.when(~below, F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy("field_id", "k").orderBy(F.col("v").asc_nulls_first())
+    c = c.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("v is not null")
+    kind = df.schema["v"].dataType
+    return c.groupBy("field_id").agg(*[F.min(F.when((F.col("k") == k) & (F.col("upto") >= F.ceil(F.col("n") * s)), F.col("v"))).cast(kind).alias(f"p{round(100 * s)}") for k, s in enumerate(shares)])
 
 
 def report(header: DataFrame) -> DataFrame:

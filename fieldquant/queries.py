@@ -45,7 +45,7 @@ def part(spark, sf):
 
 
 def orders(spark, sf):
-    # the length in z follows from the index
+    # the length in z follows from the index, whatever a shape of three dimensions says
     return fields.from_table(_t(spark, sf, "orders"), "o_orderkey", "o_totalprice", Shape(16, 16, 2), name="orders")
 
 
@@ -125,10 +125,12 @@ def prequant_half_even(spark, sf):
     return f.select("field_id", "i", quant.prequantize_half_even(F.col("v"), F.col("eb")).alias("q"))
 
 
-@query("SELECT p_partkey AS i, CAST(p_partkey AS BIGINT) & 255 AS b0, (CAST(p_partkey AS BIGINT) >> 8) & 255 AS b1, (CAST(p_partkey AS BIGINT) >> 16) & 255 AS b2 FROM part")
+_BITS = "WITH f AS (" + F_PART + "), e AS (SELECT i, CAST(CAST(v AS FLOAT) AS DOUBLE) AS d, floor(log2(CAST(v AS FLOAT))) AS e FROM f), u AS (SELECT i, CAST((e + 127) * 8388608 + round((d / pow(2, e) - 1) * 8388608) AS BIGINT) AS u FROM e) "
+
+
+@query(_BITS + "SELECT i, u & 255 AS b0, (u >> 8) & 255 AS b1, (u >> 16) & 255 AS b2, (u >> 24) & 255 AS b3 FROM u")
 def byte_planes(spark, sf):
-    u = F.col("p_partkey").cast("bigint")
-    return _t(spark, sf, "part").select(F.col("p_partkey").alias("i"), *[extras.byte_plane(u, k).alias(f"b{k}") for k in range(3)])
+    return extras.bits_of(part(spark, sf)).select("i", *[extras.byte_plane(F.col("u"), k).alias(f"b{k}") for k in range(4)])
 
 
 # ------------------------------------------------------------------ predictors
@@ -204,17 +206,101 @@ def dualquant_value_outliers(spark, sf):
     return out.select("field_id", "i", "q", F.col("back").cast("bigint").alias("back"))
 
 
-@query()
+def _serial(field: str, eb: float, tile: int) -> str:
+    """WITH RECURSIVE ... w: codes and values of the loop-carried quantizer, place by place of all tiles at once."""
+    step = "floor((floor(abs(v - last) / eb) + 1) / 2) * sign(v - last)"
+    one = f"SELECT field_id, i, t, k, v, eb, {step} AS s, last + {step} * 2 * eb AS near FROM"
+    done = f"SELECT field_id, i, t, k, v, eb, CASE WHEN abs(s) < {R} AND abs(near - v) <= eb THEN CAST(s AS INTEGER) + {R} ELSE 0 END AS code, CASE WHEN abs(s) < {R} AND abs(near - v) <= eb THEN near ELSE v END AS xv FROM"
+    return f"""WITH RECURSIVE f AS ({field}), r AS (SELECT field_id, {eb!r} * (max(v) - min(v)) AS eb FROM f GROUP BY field_id),
+t AS (SELECT field_id, i, i // {tile} AS t, i % {tile} AS k, v, eb FROM f JOIN r USING (field_id)),
+w AS ({done} ({one} (SELECT *, CAST(0 AS DOUBLE) AS last FROM t WHERE k = 0))
+  UNION ALL {done} ({one} (SELECT t.*, w.xv AS last FROM t JOIN w ON w.field_id = t.field_id AND w.t = t.t AND t.k = w.k + 1)))"""
+
+
+_ROUND_TRIP = " SELECT field_id, count(*) AS n, count(*) FILTER (code = 0) AS n_outliers, round(max(abs(v - xv)), 6) AS max_err, CAST(sum(code) AS BIGINT) AS codes FROM w GROUP BY field_id"
+
+
+def _summary(out):
+    return out.groupBy("field_id").agg(F.count("*").alias("n"), F.count_if(F.col("code") == 0).alias("n_outliers"), F.round(F.max(F.abs(F.col("v") - F.col("xv"))), 6).alias("max_err"), F.sum("code").cast("bigint").alias("codes"))
+
+
+@query(_serial(F_EVENTS, 1e-3, 256) + _ROUND_TRIP)
 def sz14_blocked(spark, sf):
-    out = serial.blocked_round_trip(fields.with_error_bound(events(spark, sf), 1e-3))
-    return out.groupBy("field_id").agg(F.count("*").alias("n"), F.count_if(F.col("code") == 0).alias("n_outliers"), F.max(F.abs(F.col("v") - F.col("xv"))).alias("max_err"))
+    return _summary(serial.blocked_round_trip(fields.with_error_bound(events(spark, sf), 1e-3)))
+
+
+@query()
+def sz14_blocked_2d(spark, sf):
+    return _summary(serial.blocked_round_trip(fields.with_error_bound(embeddings(spark, sf), 1e-3), 2))
+
+
+@query()
+def sz14_blocked_3d(spark, sf):
+    return _summary(serial.blocked_round_trip(fields.with_error_bound(orders(spark, sf), 1e-3), 3))
+
+
+@query(_serial(F_PART, 1e-3, 1 << 40) + _ROUND_TRIP)
+def sz14_whole_1d(spark, sf):
+    return _summary(serial.whole_round_trip(fields.with_error_bound(part(spark, sf), 1e-3)))
+
+
+@query()
+def sz14_whole_2d(spark, sf):
+    return _summary(serial.whole_round_trip(fields.with_error_bound(embeddings(spark, sf), 1e-3), 2, 64))
+
+
+@query()
+def sz14_whole_3d(spark, sf):
+    return _summary(serial.whole_round_trip(fields.with_error_bound(orders(spark, sf), 1e-3), 3, 16, 16))
+
+
+def _tiles_of_values(field, ndim, eb=1e-4):
+    f = fields.with_error_bound(field, eb)
+    out = serial.prequantized_tiles(f.withColumn("q", quant.prequantize(F.col("v"), F.col("eb"))), ndim)
+    return out.select("field_id", "i", F.col("q").cast("bigint").alias("q"), (F.col("out") == 1).alias("out"), F.col("back").cast("bigint").alias("back"))
+
+
+@query(_delta(F_EMB, 1e-4, (16, 16)) + f" SELECT field_id, i, q, abs(d) >= {R} AS out, q AS back FROM p")
+def dualquant_value_outliers_2d(spark, sf):
+    return _tiles_of_values(embeddings(spark, sf), 2)
+
+
+@query(_delta(F_ORDERS, 1e-4, (8, 8, 8)) + f" SELECT field_id, i, q, abs(d) >= {R} AS out, q AS back FROM p")
+def dualquant_value_outliers_3d(spark, sf):
+    return _tiles_of_values(orders(spark, sf), 3)
+
+
+_NO_TILE = 1 << 40
+
+
+@query(_delta(F_EMB, 1e-3, (_NO_TILE, _NO_TILE)) + " SELECT field_id, i, d, q FROM p")
+def lorenzo_untiled_2d(spark, sf):
+    return _untiled(embeddings(spark, sf), 2)
+
+
+@query(_delta(F_ORDERS, 1e-3, (_NO_TILE, _NO_TILE, _NO_TILE)) + " SELECT field_id, i, d, q FROM p")
+def lorenzo_untiled_3d(spark, sf):
+    return _untiled(orders(spark, sf), 3)
+
+
+def _untiled(field, ndim):
+    f = fields.with_error_bound(field, 1e-3)
+    d = predict.forward_lines(f.withColumn("q", quant.prequantize(F.col("v"), F.col("eb"))), ndim).drop("q")
+    return predict.inverse_lines(d, ndim).select("field_id", "i", "d", F.col("q").cast("bigint").alias("q"))
 
 
 @query()
 def spline3d_roundtrip(spark, sf):
+    return _summary(spline.round_trip(orders(spark, sf), 500.0))
+
+
+@query()
+def compress_decompress_spline(spark, sf):
+    """Points that come back further from the field than 500: none."""
     f = orders(spark, sf)
-    out = spline.round_trip(f, Shape(16, 16, 2), 500.0)
-    return out.groupBy("field_id").agg(F.count("*").alias("n"), F.count_if(F.col("code") == 0).alias("n_outliers"), F.max(F.abs(F.col("v") - F.col("xv"))).alias("max_err"))
+    back = pipeline.decompress(pipeline.compress(f, Config(500.0, "abs", ndim=3, predictor="spline")))
+    p = stats.paired(f, back)
+    return p.groupBy("field_id").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("o") - F.col("x")) > stats.TOLERANCE * 500.0).alias("beyond"))
 
 
 # ------------------------------------------------------------------ outliers
@@ -361,30 +447,40 @@ def binning2d(spark, sf):
     return extras.binning2d(embeddings(spark, sf), 4, 3).withColumn("v", F.round("v", 6))
 
 
-_VARIO = "WITH f AS (" + F_EVENTS + "), l AS (SELECT unnest([1, 2, 4, 8, 16]) AS lag), m AS (SELECT a.field_id, lag, count(*) AS n, avg(abs(b.v - a.v)) AS madogram, avg((b.v - a.v) * (b.v - a.v)) AS squared, avg(CASE WHEN b.v <> a.v THEN 1.0 ELSE 0.0 END) AS differing FROM f a CROSS JOIN l JOIN f b ON b.i = a.i + lag WHERE a.i % 3 = 0 GROUP BY ALL) "
+_VARIO = "WITH f AS (" + F_EVENTS + "), l AS (SELECT unnest([1, 2, 4, 8, 16]) AS lag), m AS (SELECT a.field_id, lag, count(*) AS n, avg(abs(b.v - a.v)) AS madogram, avg((b.v - a.v) * (b.v - a.v)) AS squared, avg(CASE WHEN b.v <> a.v THEN 1.0 ELSE 0.0 END) AS differing FROM f a CROSS JOIN l JOIN f b ON b.i = a.i + lag GROUP BY ALL) "
 
 
 @query(_VARIO + "SELECT field_id, lag, n, round(madogram, 5) AS madogram, round(squared, 3) AS squared, round(differing, 6) AS differing FROM m")
 def variogram_1d(spark, sf):
-    v = extras.variogram(events(spark, sf), (1, 2, 4, 8, 16), every=3)
+    v = extras.variogram(events(spark, sf), (1, 2, 4, 8, 16))
     return v.select("field_id", "lag", "n", F.round("madogram", 5).alias("madogram"), F.round("squared", 3).alias("squared"), F.round("binary", 6).alias("differing"))
 
 
 @query(_VARIO + "SELECT field_id, round(regr_slope(madogram, lag), 5) AS slope, round(regr_intercept(madogram, lag), 4) AS intercept FROM m GROUP BY field_id")
 def variogram_fit(spark, sf):
-    v = extras.variogram_fit(extras.variogram(events(spark, sf), (1, 2, 4, 8, 16), every=3))
+    v = extras.variogram_fit(extras.variogram(events(spark, sf), (1, 2, 4, 8, 16)))
     return v.select("field_id", F.round("slope", 5).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
+_TO = ((1, 0), (0, 1), (1, 1), (2, 3))
+
+
+@query("WITH f AS (" + F_EMB + "), t AS (SELECT * FROM (VALUES " + ", ".join(map(str, _TO)) + ") AS t(dx, dy)) SELECT a.field_id, dx, dy, count(*) AS n, round(avg(abs(b.v - a.v)), 6) AS madogram, round(avg((b.v - a.v) * (b.v - a.v)), 6) AS squared FROM f a, t, f b WHERE b.x = a.x + dx AND b.y = a.y + dy GROUP BY ALL")
+def variogram_2d(spark, sf):
+    v = extras.variogram_2d(embeddings(spark, sf), _TO)
+    return v.select("field_id", "dx", "dy", "n", F.round("madogram", 6).alias("madogram"), F.round("squared", 6).alias("squared"))
+
+
 @query("WITH f AS (" + F_EVENTS + "), l AS (SELECT unnest([1, 2, 3]) AS lag) SELECT a.field_id, lag, round(avg(pow(a.v - b.v, 2)), 3) AS variance FROM f a CROSS JOIN l JOIN f b ON b.i = a.i - lag AND a.i // 64 = b.i // 64 GROUP BY ALL")
 def tile_variance(spark, sf):
     return extras.tile_variance(events(spark, sf), 64, (1, 2, 3)).withColumn("variance", F.round("variance", 3))
 
 
-@query("WITH f AS (" + F_EVENTS + ") SELECT field_id, i // 32 AS tile, count(*) AS n, round(sum(v), 4) AS total FROM f GROUP BY ALL")
+@query("WITH f AS (" + F_EVENTS + """), t AS (SELECT *, i // 32 AS t, CAST('0x' || substr(md5('7:' || CAST(i // 32 AS VARCHAR)), 1, 8) AS BIGINT) % 1000000 < 500000 AS chosen FROM f),
+o AS (SELECT field_id, i, v, t, row_number() OVER (PARTITION BY field_id, t ORDER BY x) AS r, row_number() OVER (PARTITION BY field_id, t ORDER BY CASE WHEN chosen THEN md5('7:' || CAST(i AS VARCHAR)) END NULLS FIRST, x) AS s FROM t)
+SELECT a.field_id, a.i, b.v FROM o a JOIN o b ON a.field_id = b.field_id AND a.t = b.t AND a.r = b.s""")
 def shuffled_blocks(spark, sf):
-    s = extras.shuffled_blocks(events(spark, sf), 32, 0.5, 7)
-    return s.groupBy("field_id", F.floor(F.col("i") / 32).alias("tile")).agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"))
+    return extras.shuffled_blocks(events(spark, sf), 32, 0.5, 7).select("field_id", "i", "v")
 
 
 @query(" UNION ALL ".join("SELECT * FROM (" + _delta(F_EVENTS, eb, ONE) + f" SELECT CAST({eb!r} AS DOUBLE) AS user_eb, count(*) FILTER (code = 0) AS n_outliers, count(DISTINCT code) AS n_codes, count(*) FILTER (d = 0) AS zeros FROM p)" for eb in (0.1, 0.01, 0.001, 0.0001)))
@@ -435,10 +531,16 @@ def fz_nonzero_groups(spark, sf):
     return fz.sizes(fz.encode(_p(events(spark, sf), 1e-2, 1)))
 
 
+@query(_FZ + ", g AS (SELECT field_id, w // 1024 AS chunk, w // 4 AS g, max(word) AS m FROM t GROUP BY ALL), c AS (SELECT field_id, CAST(chunk AS BIGINT) AS chunk, count(*) AS kept FROM g WHERE m > 0 GROUP BY ALL) SELECT field_id, chunk, CAST(kept * 16 AS INTEGER) AS bytes, CAST(coalesce(sum(kept * 16) OVER (PARTITION BY field_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM c")
+def fz_archive(spark, sf):
+    c = fz.starts(fz.encode(_p(events(spark, sf), 1e-2, 1)))
+    return c.select("field_id", "chunk", F.length("payload").alias("bytes"), "start").filter("bytes > 0")
+
+
 @query(_delta(F_EVENTS, 1e-2, ONE) + " SELECT field_id, i, code FROM p")
 def fz_roundtrip(spark, sf):
     p = _p(events(spark, sf), 1e-2, 1)
-    return fz.decode(fz.encode(p), p)
+    return fz.decode(fz.encode(p))
 
 
 @query("WITH l AS (SELECT CAST(c AS INTEGER) AS code, CAST(least(c + 1, 14) AS INTEGER) AS len FROM range(15) AS r(c)), f AS (SELECT a.len, coalesce(sum(pow(2.0, a.len - b.len)), 0) AS first FROM (SELECT DISTINCT len FROM l) a LEFT JOIN l b ON b.len > a.len GROUP BY a.len) SELECT 'lengths' AS field_id, code, len, CAST(first AS BIGINT) + row_number() OVER (PARTITION BY len ORDER BY code) - 1 AS word FROM l JOIN f USING (len)")
@@ -452,7 +554,14 @@ def huffman_book(spark, sf):
     return huffman.books(hist.histogram(_p(events(spark, sf), 1e-2, 1)))
 
 
-@query()
+# merges of the two least, whose sums add up to the bits of any Huffman code
+_MERGES = _delta(F_EVENTS, 1e-2, ONE).replace("WITH f AS", "WITH RECURSIVE f AS", 1) + """, h AS (SELECT field_id, count(*) AS freq FROM p GROUP BY field_id, code),
+m AS (SELECT field_id, list_sort(list(freq)) AS l, CAST(0 AS HUGEINT) AS bits, CAST(sum(freq) AS HUGEINT) AS n FROM h GROUP BY field_id
+  UNION ALL SELECT field_id, list_sort(list_append(l[3:], l[1] + l[2])), bits + l[1] + l[2], n FROM m WHERE len(l) > 1)
+SELECT field_id, CAST(n AS BIGINT) AS n, CAST(CASE WHEN bits = 0 THEN n ELSE bits END AS BIGINT) AS bits, CASE WHEN bits = 0 THEN n ELSE bits END / n AS avg_bits, 32.0 * n / CASE WHEN bits = 0 THEN n ELSE bits END AS ratio FROM m WHERE len(l) = 1"""
+
+
+@query(_MERGES)
 def huffman_total_bits(spark, sf):
     return huffman.total_bits(huffman.books(hist.histogram(_p(events(spark, sf), 1e-2, 1))))
 
@@ -464,6 +573,20 @@ def huffman_encode_chunks(spark, sf):
     return c.select("field_id", "chunk", "n", "nbit", "ncell", "entry", F.crc32("payload").alias("crc"))
 
 
+@query()
+def huffman_chunk_ratios(spark, sf):
+    p = _p(events(spark, sf), 1e-2, 1)
+    return huffman.ratios(huffman.encode(p, huffman.books(hist.histogram(p))))
+
+
+@query(_delta(F_EVENTS, 1e-2, ONE) + " SELECT field_id, i, code FROM p")
+def huffman_dense_roundtrip(spark, sf):
+    """Through the concatenated stream with its entries."""
+    p = _p(events(spark, sf), 1e-2, 1)
+    book = huffman.books(hist.histogram(p))
+    return huffman.decode(huffman.undense(huffman.dense(huffman.encode(p, book), 4), 4), book)
+
+
 @query(_delta(F_EVENTS, 1e-2, ONE) + " SELECT field_id, i, code FROM p")
 def huffman_roundtrip(spark, sf):
     p = _p(events(spark, sf), 1e-2, 1)
@@ -512,7 +635,7 @@ def archive_sizes(spark, sf):
     return pipeline.sizes(pipeline.compress(events(spark, sf), Config(1e-2)))
 
 
-@query("WITH f AS (" + F_EVENTS + ") SELECT field_id, count(*) AS n, true AS bounded FROM f GROUP BY field_id")
+@query(_with(F_EVENTS, 1e-3) + " SELECT field_id, count(*) AS n, count(*) FILTER (abs(v - q * (2 * eb)) > 1.001 * eb) = 0 AS bounded, round(max(abs(v - q * (2 * eb)) / eb), 6) AS worst, round(avg(abs(v - q * (2 * eb))), 9) AS mean_err FROM q GROUP BY field_id")
 def flagship(spark, sf):
     """events.value under a bound of 1e-3 of its range: predict, find outliers, rebuild, assess."""
     cfg = Config(1e-3)
@@ -520,4 +643,5 @@ def flagship(spark, sf):
     fused = sparse.scatter(p.drop("q", "d"), sparse.gather(p, R))
     back = predict.inverse(fused.withColumn("d", quant.fuse(F.col("code").cast("bigint"), F.col("val"), R)), cfg.tiles)
     pairs = back.select("field_id", "i", F.col("v").alias("o"), quant.dequantize(F.col("q"), F.col("eb")).alias("x"), "eb")
-    return pairs.groupBy("field_id").agg(F.count("*").alias("n"), (F.count_if(F.abs(F.col("o") - F.col("x")) > stats.TOLERANCE * F.col("eb")) == 0).alias("bounded"))
+    e = F.abs(F.col("o") - F.col("x"))
+    return pairs.groupBy("field_id").agg(F.count("*").alias("n"), (F.count_if(e > stats.TOLERANCE * F.col("eb")) == 0).alias("bounded"), F.round(F.max(e / F.col("eb")), 6).alias("worst"), F.round(F.avg(e), 9).alias("mean_err"))

@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+#: Rows of a table of one row (or one book) a field that are sent to every executor; more are joined by shuffle.
+MOST_SENT = 100_000
+
+
 @dataclass(frozen=True)
 class Shape:
     x: int
@@ -91,19 +95,34 @@ def random_field(spark: SparkSession, n: int, seed: int, normal: bool = False, n
     return from_table(spark.range(n).withColumn("v", v), "id", "v", name=name)
 
 
+def beside(df: DataFrame, few: DataFrame, on: list[str] = ["field_id"], how: str = "inner") -> DataFrame:  # noqa: B006
+    """df with the columns of few, which has few rows a field.
+
+    few is counted by reading it: up to MOST_SENT rows go to every executor, so a
+    large field is never dealt to one task by its name.  With more, fields are many
+    and a shuffle by name spreads them.
+    """
+    rows = few.limit(MOST_SENT + 1).collect()
+    names = [F.col(c).alias(f"__on{k}") for k, c in enumerate(on)]
+    rest = [c for c in few.columns if c not in on]
+    if len(rows) <= MOST_SENT:
+        few = F.broadcast(df.sparkSession.createDataFrame(rows, few.schema))
+    match = [F.col(c) == F.col(f"__on{k}") for k, c in enumerate(on)]
+    return df.join(few.select(*names, *rest), match, how).drop(*[f"__on{k}" for k in range(len(on))])
+
+
 def value_range(field: DataFrame) -> DataFrame:
     """field_id, lo, hi, rng: one row a field."""
     return field.groupBy("field_id").agg(F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi")).withColumn("rng", F.col("hi") - F.col("lo"))
 
 
 def with_error_bound(field: DataFrame, eb: float, mode: str = "rel") -> DataFrame:
-    """Adds eb: as given (abs) or times the field's range (rel).  The join is on field_id with one row a field."""
+    """Adds eb: as given (abs) or times the field's range (rel)."""
     if mode == "abs":
         return field.withColumn("eb", F.lit(float(eb)))
     if mode not in ("rel", "r2r"):
         raise ValueError(f"unknown error mode: {mode}")
-    r = value_range(field).select(F.col("field_id").alias("__f"), (F.lit(float(eb)) * F.col("rng")).alias("eb"))
-    return field.join(r, F.col("field_id") == F.col("__f")).drop("__f")
+    return beside(field, value_range(field).select("field_id", (F.lit(float(eb)) * F.col("rng")).alias("eb")))
 
 
 def stride_index(lx: int, ly: int, x: Column, y: Column, z: Column) -> Column:

@@ -1,5 +1,6 @@
 import math
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,7 +103,7 @@ def test_rle_and_fz_round_trips(spark):
         assert runs.count() == 1 + sum(a != b for a, b in zip(codes, codes[1:]))
         got = {r.i: r.code for r in rle.decode(runs).collect()}
         assert [got[i] for i in range(len(codes))] == codes
-    got = {r.i: r.code for r in fz.decode(fz.encode(df), df).collect()}
+    got = {r.i: r.code for r in fz.decode(fz.encode(df)).collect()}
     assert [got[i] for i in range(len(codes))] == codes
 
 
@@ -121,7 +122,7 @@ def test_pipeline_keeps_the_bound(spark, cfg, shape, tmp_path):
 
 
 def test_config_and_types(spark):
-    assert Config(radius=4096).radius == 512 and Config(radius=4096).warnings == (Status.WARN_RADIUS_TOO_LARGE,)
+    assert Config(radius=4096).radius == 512 and Config(radius=4096).warnings == (Status.RADIUS_CUT,)
     with pytest.raises(PipelineError):
         Config(ndim=4)
     with pytest.raises(TypeError):
@@ -143,13 +144,128 @@ def test_serial_and_spline(spark):
     assert len(out) == 700 and all(abs(r.v - r.xv) <= 0.05 * 1.001 for r in out)
     s = Shape(35, 10, 11)
     w = [math.sin(k % 35 / 5) + math.cos(k // 35 % 10 / 3) + (k // 350) * 0.1 for k in range(s.length)]
-    out = spline.round_trip(make(spark, w, s), s, 0.01).collect()
+    out = spline.round_trip(make(spark, w, s), 0.01).collect()
     assert sorted(r.i for r in out) == list(range(s.length))
     assert all(abs(r.v - r.xv) <= 0.01 * 1.001 for r in out)
     q = make(spark, v).withColumn("q", F.round(F.col("v") * 1000).cast("bigint"))
     assert all(r.q == r.back for r in serial.prequantized_round_trip(q).collect())
 
 
+def serial_brute(v, shape, tile, eb, radius=512):
+    """The loop-carried quantizer point by point: {i: (code, value)}; tile None: the whole field."""
+    back, out = {}, {}
+    for z in range(shape.z):
+        for y in range(shape.y):
+            for x in range(shape.x):
+                here = (x, y, z)[: shape.ndim]
+                start = tuple(c // t * t for c, t in zip(here, tile)) if tile else (0,) * shape.ndim
+                guess = 0.0
+                for sign, o in serial.neighbours(shape.ndim):
+                    at = tuple(c - b for c, b in zip(here, o))
+                    if all(c >= s for c, s in zip(at, start)):
+                        guess += sign * back[at]
+                i = x + y * shape.x + z * shape.x * shape.y
+                e = v[i] - guess
+                step = (math.floor(abs(e) / eb) + 1) // 2
+                near = guess + math.copysign(step, e) * 2 * eb
+                ok = step < radius and abs(near - v[i]) <= eb
+                back[here] = near if ok else v[i]
+                out[i] = (int(math.copysign(step, e)) + radius if ok else 0, back[here])
+    return out
+
+
+@pytest.mark.parametrize("shape,tile", [(Shape(300), (64,)), (Shape(21, 18), (8, 8)), (Shape(9, 7, 6), (4, 4, 4)), (Shape(300), None), (Shape(13, 12), None), (Shape(7, 6, 5), None)])
+def test_loop_carried_predictors(spark, shape, tile):
+    """Tiles with ragged ends and whole fields, two fields at a time, against the definition."""
+    rnd = random.Random(shape.length)
+    v = {n: [math.sin(k / 7) * 20 + rnd.random() + (500 if k == 40 else 0) for k in range(shape.length)] for n in ("a", "b")}
+    f = make(spark, v["a"], shape, "a").unionByName(make(spark, v["b"], shape, "b")).withColumn("eb", F.lit(0.05)).repartition(5)
+    if tile:
+        out = serial.blocked_round_trip(f, shape.ndim, tile).collect()
+    else:
+        out = serial.whole_round_trip(f, shape.ndim, shape.x, shape.y).collect()
+    assert len(out) == 2 * shape.length
+    want = {n: serial_brute(v[n], shape, tile, 0.05) for n in v}
+    for r in out:
+        code, value = want[r.field_id][r.i]
+        assert r.code == code and math.isclose(r.xv, value, abs_tol=1e-9) and abs(r.xv - r.v) <= 0.05 * 1.001
+
+
+@pytest.mark.parametrize("shape", [Shape(37, 20), Shape(11, 9, 10)])
+def test_values_of_outliers_in_several_dimensions(spark, shape):
+    rnd = random.Random(1)
+    q = [rnd.randrange(-900, 900) for _ in range(shape.length)]
+    out = serial.prequantized_tiles(make(spark, q, shape).withColumn("q", F.col("v").cast("bigint")), shape.ndim).collect()
+    assert sorted(r.i for r in out) == list(range(shape.length)) and all(r.q == r.back == q[r.i] for r in out) and 0 < sum(r.out for r in out) < len(out)
+    f = make(spark, q, shape).withColumn("q", F.col("v").cast("bigint"))
+    back = predict.inverse_lines(predict.forward_lines(f, shape.ndim).drop("q"), shape.ndim).collect()
+    assert all(r.q == q[r.i] for r in back)
+
+
+def test_spline_archive(spark, tmp_path):
+    s = Shape(43, 21, 10)
+    v = [math.sin(k % 43 / 5) + math.cos(k // 43 % 21 / 3) + (k // 903) * 0.1 + (40 if k == 777 else 0) for k in range(s.length)]
+    for cfg in (Config(1e-3, ndim=3, predictor="spline"), Config(0.02, "abs", ndim=3, predictor="spline", codec="fz", alpha=1.5, beta=3.0)):
+        a = pipeline.compress(make(spark, v, s), cfg)
+        path = f"file://{tmp_path}/{cfg.codec}"
+        a.write(path)
+        assert not a.source.is_cached
+        b = pipeline.read_archive(spark, path)
+        assert replace(b.cfg, tile=None) == cfg and (cfg.mode == "rel" or b.outliers.count() >= 1)
+        eb = cfg.eb if cfg.mode == "abs" else cfg.eb * (max(v) - min(v))
+        got = {r.i: r.v for r in pipeline.decompress(b).collect()}
+        assert len(got) == s.length and all(abs(got[i] - v[i]) <= eb * stats.TOLERANCE for i in got)
+        assert pipeline.sizes(b).first().anchor_bytes > 0
+        pipeline.dump(b, f"{path}-dump")
+        assert spark.read.parquet(f"{path}-dump/codes").count() == s.length and spark.read.parquet(f"{path}-dump/histogram").count() == 1024
+    with pytest.raises(PipelineError):
+        Config(ndim=2, predictor="spline")
+    with pytest.raises(PipelineError):
+        Config(eb=0.0)
+
+
+def test_dense_streams_and_chunk_ratios(spark):
+    rnd = random.Random(3)
+    codes = [min(1023, int(abs(rnd.gauss(512, 9)))) for _ in range(9000)]
+    df = make(spark, codes).withColumn("code", F.col("v").cast("int"))
+    book = huffman.books(hist.histogram(df))
+    chunks = huffman.encode(df, book, chunk=500)
+    d = huffman.dense(chunks, segment=7)
+    assert d.count() == 3 and all(len(r.stream) == 4 * sum(r.ncell) for r in d.collect())
+    back = {r.chunk: (r.n, r.nbit, bytes(r.payload)) for r in huffman.undense(d, segment=7).collect()}
+    assert back == {r.chunk: (r.n, r.nbit, bytes(r.payload)) for r in chunks.collect()}
+    assert all(4 < r.ratio < 8 for r in huffman.ratios(chunks).collect()) and huffman.ratios(chunks).count() == 18
+
+
+def test_percentiles_of_skewed_fields(spark):
+    rnd = random.Random(6)
+    v = {"ties": [1.0] * 700 + [2.0] * 300, "heavy": [math.exp(rnd.gauss(0, 5)) for _ in range(5000)], "two": [3.0, 4.0], "line": [float(k) for k in range(4000)]}
+    df = None
+    for n, x in v.items():
+        df = make(spark, x, name=n) if df is None else df.unionByName(make(spark, x, name=n))
+    shares = (0.0, 0.01, 0.5, 0.7, 1.0)
+    got = {r.field_id: r for r in stats.percentiles(df, shares).collect()}
+    for n, x in v.items():
+        x = sorted(x)
+        assert [got[n][f"p{round(100 * s)}"] for s in shares[:4]] == [x[max(0, math.ceil(len(x) * s) - 1)] for s in shares[:4]]
+        assert got[n]["p100"] == x[-1]
+
+
+def test_many_fields_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(fields, "MOST_SENT", 3)
+    f = spark.range(60).selectExpr("concat('f', id % 6) as k", "id", "cast(id as double) as v")
+    f = fields.many(f, "k", "id", "v")
+    back = pipeline.decompress(pipeline.compress(f, Config(1e-3)))
+    want = {(f"f{k % 6}", k // 6): float(k) for k in range(60)}
+    assert {(r.field_id, r.i): round(r.v) for r in back.collect()} == want
+
+
+def test_value_histograms(spark):
+    f = make(spark, [0.0, 1.0, 10.0, -100.0, 1000.0, 5.0])
+    assert {r.bin: r.freq for r in stats.value_histogram(f, 3, log=True).collect()} == {0: 2, 1: 1, 2: 2}
+    assert sum(r.freq for r in stats.value_histogram(f, 4, zoom=(0.0, 10.0)).collect()) == 4
+
+
 def test_untiled(spark):
     f = make(spark, [k * k % 97 for k in range(1000)]).withColumn("q", F.col("v").cast("bigint"))
     d = predict.forward_untiled(f, block=64)
@@ -181,6 +297,28 @@ def test_raw_binary(spark, tmp_path):
     assert [back[i] for i in range(1000)] == v.tolist()
 
 
+def test_raw_binary_through_hadoop(spark, tmp_path):
+    import numpy as np
+
+    from fieldquant.sources import rawbinary
+
+    v = np.arange(3000, dtype="<f8") / 7
+    v.tofile(tmp_path / "raw.bin")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.raw.link./in", f"file://{tmp_path}")
+    for path in (f"file://{tmp_path}/raw.bin", "viewfs://raw/in/raw.bin"):
+        got = {r.i: r.v for r in rawbinary.read(spark, path, "f8").collect()}
+        assert [got[i] for i in range(3000)] == v.tolist()
+    rawbinary.register(spark)
+    df = spark.range(2003).selectExpr("id as i", "cast(id / 3 as float) as v")
+    df.repartition(3).sortWithinPartitions("i").write.format("rawbinary").option("dtype", "f4").mode("append").save(str(tmp_path / "out"))
+    assert not list((tmp_path / "out").glob("*.new"))
+    got = {r.i: r.v for r in rawbinary.read(spark, f"file://{tmp_path}/out", "f4").collect()}
+    assert len(got) == 2003 and all(got[i] == np.float32(i / 3) for i in got)
+    (tmp_path / "odd.bin").write_bytes(b"12345")
+    with pytest.raises(ValueError):
+        rawbinary.read(spark, f"file://{tmp_path}/odd.bin", "f4")
+
+
 def test_stream_of_frames(spark, tmp_path):
     from fieldquant.streaming.frames import compress_stream
 
