@@ -212,7 +212,7 @@ class Codec:
         return got, out
 
     #: Words whose tokens a worker remembers; beyond it words are encoded anew each time.
-    KNOWN = 200_000
+    KNOWN = 300_000
 
     def _propose(self, data, offsets):
         """Greedy longest match, one token a word and round."""
