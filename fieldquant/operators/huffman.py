@@ -123,7 +123,7 @@ def unpack(payload: bytes, n: int, words: np.ndarray, lens: np.ndarray, symbols:
 def encode(df: DataFrame, book: DataFrame, code: str = "code", chunk: int = CHUNK) -> DataFrame:
     """field_id, chunk, n, nbit, payload.  A few fields' books are sent to every executor."""
     ship(df.sparkSession)
-    d = beside(df.select("field_id", "i", F.col(code).alias("code")), book.select("field_id", "code", "len", "word"), ["field_id", "code"])
+    d = beside(df.select("field_id", "i", F.col(code).alias("code")), book.select("field_id", "code", "len", "word"), ("field_id", "code"))
     d = d.select("field_id", "i", "len", "word", F.floor(F.col("i") / chunk).alias("chunk"))
 
     def run(t: pa.Table) -> pa.Table:

@@ -138,7 +138,8 @@ def read_archive(spark, path: str) -> Archive:
 
 
 def compress(field: DataFrame, cfg: Config) -> Archive:
-    """The tables of an archive, all made of the same predicted codes; nothing but books is computed before they are used."""
+    """The tables of an archive, all made of the same predicted codes.  Header and books (some rows a field) are computed
+    here, the rest as it is used."""
     p = predicted(field, cfg)
     splines = cfg.predictor == "spline"
     if splines:
@@ -158,9 +159,10 @@ def compress(field: DataFrame, cfg: Config) -> Archive:
         F.lit(cfg.zigzag).alias("zigzag"), F.lit(cfg.codec).alias("codec"), F.array(*[F.lit(t) for t in cfg.tiles]).alias("tile"), F.lit(field.schema["v"].dataType.simpleString()).alias("dtype"),
         F.lit(cfg.alpha).alias("alpha"), F.lit(cfg.beta).alias("beta"),
     )
+    header = fields.counted(header)[0]
     codes = p.select("field_id", "i", "code")
     if cfg.codec == "huffman":
-        book = huffman.books(hist.histogram(codes))
+        book = fields.counted(huffman.books(hist.histogram(codes)))[0]
         return Archive(header, huffman.encode(codes, book), book, outliers, cfg, anchors, p)
     return Archive(header, fz.encode(codes) if cfg.codec == "fz" else codes, None, outliers, cfg, anchors, p)
 

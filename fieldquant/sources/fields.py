@@ -95,20 +95,25 @@ def random_field(spark: SparkSession, n: int, seed: int, normal: bool = False, n
     return from_table(spark.range(n).withColumn("v", v), "id", "v", name=name)
 
 
-def beside(df: DataFrame, few: DataFrame, on: list[str] = ["field_id"], how: str = "inner") -> DataFrame:  # noqa: B006
+def counted(few: DataFrame) -> tuple[DataFrame, bool]:
+    """(few, whether it has MOST_SENT rows at most); if so it has been read and is a local table from now on."""
+    rows = few.limit(MOST_SENT + 1).toArrow()
+    small = rows.num_rows <= MOST_SENT
+    return (few.sparkSession.createDataFrame(rows, few.schema) if small else few), small
+
+
+def beside(df: DataFrame, few: DataFrame, on: tuple[str, ...] = ("field_id",), how: str = "inner") -> DataFrame:
     """df with the columns of few, which has few rows a field.
 
     few is counted by reading it: up to MOST_SENT rows go to every executor, so a
     large field is never dealt to one task by its name.  With more, fields are many
     and a shuffle by name spreads them.
     """
-    rows = few.limit(MOST_SENT + 1).collect()
+    few, small = counted(few)
     names = [F.col(c).alias(f"__on{k}") for k, c in enumerate(on)]
-    rest = [c for c in few.columns if c not in on]
-    if len(rows) <= MOST_SENT:
-        few = F.broadcast(df.sparkSession.createDataFrame(rows, few.schema))
+    few = few.select(*names, *[c for c in few.columns if c not in on])
     match = [F.col(c) == F.col(f"__on{k}") for k, c in enumerate(on)]
-    return df.join(few.select(*names, *rest), match, how).drop(*[f"__on{k}" for k in range(len(on))])
+    return df.join(F.broadcast(few) if small else few, match, how).drop(*[f"__on{k}" for k in range(len(on))])
 
 
 def value_range(field: DataFrame) -> DataFrame:
