@@ -7,6 +7,7 @@ format that Spark reads (--format, with --index and --value).
 from __future__ import annotations
 
 import argparse
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,9 +71,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if a.task == "analyze":
         pipeline.analyze(_field(spark, a, a.source), cfg).filter("freq > 0").orderBy("code").show(2 * cfg.radius, truncate=False)
         return
+    began = time.perf_counter()
     archive = pipeline.compress(_field(spark, a, a.source), cfg)
     archive.write(a.to)
-    pipeline.sizes(pipeline.read_archive(spark, a.to)).show(truncate=False)
+    print(f"seconds: {time.perf_counter() - began:.3f}")
+    found = pipeline.read_archive(spark, a.to)
+    pipeline.lengths(found).show(truncate=False)
+    pipeline.sizes(found).show(truncate=False)
 
 
 if __name__ == "__main__":

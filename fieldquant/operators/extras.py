@@ -30,10 +30,13 @@ def variogram(df: DataFrame, lags: tuple[int, ...], every: int = 1) -> DataFrame
     return lag_pairs(df, lags, every).groupBy("field_id", "lag").agg(F.count("*").alias("n"), F.avg(F.abs(d)).alias("madogram"), F.avg(d * d).alias("squared"), F.avg((d != 0).cast("double")).alias("binary"))
 
 
-def variogram_2d(df: DataFrame, offsets: tuple[tuple[int, int], ...]) -> DataFrame:
-    """field_id, dx, dy, n, and means of absolute and squared differences of points (x, y) and (x + dx, y + dy)."""
+def variogram_2d(df: DataFrame, offsets: tuple[tuple[int, int], ...], tile: int | None = None) -> DataFrame:
+    """field_id, dx, dy, n, and means of absolute and squared differences of points (x, y) and (x + dx, y + dy); with a tile,
+    of pairs inside one tile only."""
     to = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in offsets])
-    a = df.select("field_id", F.col("v").alias("o"), F.explode(to).alias("p"))
+    a = df.select("field_id", "x", "y", F.col("v").alias("o"), F.explode(to).alias("p"))
+    if tile:
+        a = a.filter(" and ".join(f"floor({c} / {tile}) = floor(p.{c} / {tile})" for c in "xy"))
     b = df.select(F.col("field_id").alias("__f"), F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("v").alias("w"))
     d = F.col("w") - F.col("o")
     both = a.join(b, (F.col("field_id") == F.col("__f")) & (F.col("p.x") == F.col("__x")) & (F.col("p.y") == F.col("__y")))

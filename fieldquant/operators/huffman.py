@@ -135,6 +135,11 @@ def encode(df: DataFrame, book: DataFrame, code: str = "code", chunk: int = CHUN
     return d.groupBy("field_id", "chunk").applyInArrow(run, "field_id string, chunk bigint, n int, nbit bigint, payload binary")
 
 
+def tuned_chunk(n: int, tasks: int, least: int = 1024, most: int = 65_536) -> int:
+    """Codes in a chunk so that a field of n has some eight chunks a task: a multiple of 256 between the bounds."""
+    return min(most, max(least, -(-n // (8 * max(1, tasks) * 256)) * 256))
+
+
 def entries(chunks: DataFrame) -> DataFrame:
     """Adds ncell (32-bit cells) and entry: the cells of a field's chunks before this one."""
     w = Window.partitionBy("field_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

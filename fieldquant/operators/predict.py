@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import quant
 from ..sources.fields import tile_keys, with_tiles
 
 #: Tiles of one, two and three dimensions: large ones and those of the prototype.
@@ -82,6 +83,13 @@ def _lines_of(df: DataFrame, ndim: int, of: str, out: str, step) -> DataFrame:
     return df
 
 
+def errors_of_values(df: DataFrame, ndim: int, eb: str = "eb", v: str = "v", out: str = "step", block: int = 65_536) -> DataFrame:
+    """The approximation of loop-carried predictors that can be a window: errors against the original neighbours of a whole
+    field, in steps of twice the bound, halves to even, of any size."""
+    df = forward_untiled(df, v, out, block) if ndim == 1 else forward_lines(df, ndim, v, out)
+    return df.withColumn(out, quant.prequantize_half_even(F.col(out), F.col(eb)))
+
+
 def zero_share(d: Column) -> Column:
     """Aggregate: share of elements that are predicted exactly."""
     return F.count_if(d == 0) / F.count("*")

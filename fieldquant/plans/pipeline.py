@@ -204,6 +204,18 @@ def sizes(a: Archive) -> DataFrame:
     return stats.report(h)
 
 
+def lengths(a: Archive) -> DataFrame:
+    """What a header says of its fields: elements, lengths of the axes, bytes before compression, outliers, status."""
+    width = F.when(F.col("dtype") == "float", 4).otherwise(8)
+    return a.header.select("field_id", "n", "lx", "ly", "lz", (F.col("n") * width).alias("raw_bytes"), "eb", "n_outliers", "status")
+
+
+def report(field: DataFrame, a: Archive) -> DataFrame:
+    """Quality of what an archive gives back beside the bytes that it takes: a row a field."""
+    q = assess(field, decompress(a))
+    return fields.beside(q, sizes(a)).withColumn("bits_per_value", 8.0 * F.col("total_bytes") / F.col("n"))
+
+
 def dump(a: Archive, path: str) -> None:
     """The codes and their dense histogram as tables, for a look at what was predicted."""
     codes = decoded_codes(a)

@@ -273,6 +273,41 @@ def dualquant_value_outliers_3d(spark, sf):
 _NO_TILE = 1 << 40
 
 
+def _approx(field: str, eb: float, axes: str) -> str:
+    """WITH ... a: steps of the errors against original neighbours."""
+    out, prev, col = f"WITH f AS ({field}), r AS (SELECT field_id, {eb!r} * (max(v) - min(v)) AS eb FROM f GROUP BY field_id), g AS (SELECT f.*, eb FROM f JOIN r USING (field_id))", "g", "v"
+    for k, a in enumerate(axes):
+        other = "".join(f", {b}" for b in axes if b != a)
+        out += f", d{k} AS (SELECT *, {col} - coalesce(lag({col}) OVER (PARTITION BY field_id{other} ORDER BY {a}), 0) AS e{k} FROM {prev})"
+        prev, col = f"d{k}", f"e{k}"
+    return out + f", a AS (SELECT *, CAST(round_even({col} * (1 / (2 * eb)), 0) AS BIGINT) AS step FROM {prev})"
+
+
+@query(_approx(F_EVENTS, 1e-3, "x") + " SELECT field_id, i, step FROM a")
+def sz14_approx_1d(spark, sf):
+    return predict.errors_of_values(fields.with_error_bound(events(spark, sf), 1e-3), 1, block=4096).select("field_id", "i", "step")
+
+
+@query(_approx(F_EMB, 1e-3, "xy") + " SELECT field_id, i, step FROM a")
+def sz14_approx_2d(spark, sf):
+    return predict.errors_of_values(fields.with_error_bound(embeddings(spark, sf), 1e-3), 2).select("field_id", "i", "step")
+
+
+@query(_approx(F_ORDERS, 1e-3, "xyz") + " SELECT field_id, i, step FROM a")
+def sz14_approx_3d(spark, sf):
+    return predict.errors_of_values(fields.with_error_bound(orders(spark, sf), 1e-3), 3).select("field_id", "i", "step")
+
+
+@query(" UNION ALL ".join("SELECT * FROM (" + _approx(F_EVENTS, eb, "x") + f" SELECT CAST({eb!r} AS DOUBLE) AS user_eb, count(DISTINCT step) AS n_steps, count(*) FILTER (step = 0) AS zeros, max(abs(step)) AS widest FROM a)" for eb in (0.1, 0.01, 0.001, 0.0001)))
+def multi_eb_sz14(spark, sf):
+    """The steps of the loop-carried kind under several bounds, beside multi_eb_sweep."""
+    f = fields.beside(events(spark, sf), fields.value_range(events(spark, sf)).select("field_id", "rng"))
+    d = predict.forward_untiled(f, "v", "d", block=4096).withColumn("user_eb", F.explode(F.array(*[F.lit(e) for e in (0.1, 0.01, 0.001, 0.0001)])))
+    step = quant.prequantize_half_even(F.col("d"), F.col("user_eb") * F.col("rng"))
+    return d.groupBy("user_eb").agg(F.count_distinct(step).alias("n_steps"), F.count_if(step == 0).alias("zeros"), F.max(F.abs(step)).alias("widest"))
+
+
+
 @query(_delta(F_EMB, 1e-3, (_NO_TILE, _NO_TILE)) + " SELECT field_id, i, d, q FROM p")
 def lorenzo_untiled_2d(spark, sf):
     return _untiled(embeddings(spark, sf), 2)
@@ -471,6 +506,12 @@ def variogram_2d(spark, sf):
     return v.select("field_id", "dx", "dy", "n", F.round("madogram", 6).alias("madogram"), F.round("squared", 6).alias("squared"))
 
 
+@query("WITH f AS (" + F_EMB + "), t AS (SELECT * FROM (VALUES " + ", ".join(map(str, _TO)) + ") AS t(dx, dy)) SELECT a.field_id, dx, dy, count(*) AS n, round(avg((b.v - a.v) * (b.v - a.v)), 6) AS variance FROM f a, t, f b WHERE b.x = a.x + dx AND b.y = a.y + dy AND b.x // 8 = a.x // 8 AND b.y // 8 = a.y // 8 GROUP BY ALL")
+def tile_variance_2d(spark, sf):
+    v = extras.variogram_2d(embeddings(spark, sf), _TO, tile=8)
+    return v.select("field_id", "dx", "dy", "n", F.round("squared", 6).alias("variance"))
+
+
 @query("WITH f AS (" + F_EVENTS + "), l AS (SELECT unnest([1, 2, 3]) AS lag) SELECT a.field_id, lag, round(avg(pow(a.v - b.v, 2)), 3) AS variance FROM f a CROSS JOIN l JOIN f b ON b.i = a.i - lag AND a.i // 64 = b.i // 64 GROUP BY ALL")
 def tile_variance(spark, sf):
     return extras.tile_variance(events(spark, sf), 64, (1, 2, 3)).withColumn("variance", F.round("variance", 3))

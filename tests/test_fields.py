@@ -237,6 +237,15 @@ def test_dense_streams_and_chunk_ratios(spark):
     assert all(4 < r.ratio < 8 for r in huffman.ratios(chunks).collect()) and huffman.ratios(chunks).count() == 18
 
 
+def test_report_and_lengths(spark):
+    v = [math.sin(k / 40) * 50 for k in range(1500)]
+    a = pipeline.compress(make(spark, v), Config(1e-3))
+    r, h = pipeline.report(make(spark, v), a).first(), pipeline.lengths(a).first()
+    assert r.n == 1500 and r.psnr > 50 and 0 < r.bits_per_value < 32 and r.max_abs_err <= 0.1 * stats.TOLERANCE
+    assert (h.n, h.lx, h.ly, h.lz, h.raw_bytes, h.status) == (1500, 1500, 1, 1, 12_000, "OK")
+    assert [huffman.tuned_chunk(n, 8) for n in (10, 10**6, 10**9)] == [1024, 15_872, 65_536]
+
+
 def test_percentiles_of_skewed_fields(spark):
     rnd = random.Random(6)
     v = {"ties": [1.0] * 700 + [2.0] * 300, "heavy": [math.exp(rnd.gauss(0, 5)) for _ in range(5000)], "two": [3.0, 4.0], "line": [float(k) for k in range(4000)]}
