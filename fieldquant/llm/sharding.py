@@ -151,16 +151,17 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def assign(docs: DataFrame, shards: int | None = 8, capacity: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, __s_key, __s_size, __s_crc, shard of every row: either `shards` balanced shards, or as few as `capacity` bytes allow."""
-    return by_capacity(docs, capacity, scratch or Scratch(docs.sparkSession, "sharding")) if capacity else balanced(docs, shards)
+    scratch = scratch or Scratch(docs.sparkSession, "sharding")
+    return by_capacity(docs, capacity, scratch) if capacity else balanced(docs, shards, scratch)
 
 
-def balanced(docs: DataFrame, shards: int) -> DataFrame:
+def balanced(docs: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
     if not 0 < shards <= MOST_SHARDS:
         raise ValueError(f"1 to {MOST_SHARDS} balanced shards; use a capacity for more")
     large_share = max(8, min(LARGE, ITEMS // shards))
     n_units = large_share * shards
     unit = lambda key: F.pmod(F.xxhash64(key), F.lit(n_units)).cast("int")
-    rows = _rows(docs)
+    rows = scratch.write(_rows(docs), "rows")  # texts are hashed once
     groups = rows.groupBy("__s_key").agg(F.sum("__s_size").alias("bytes"))
     total = rows.agg(F.sum("__s_size").alias("n")).first()["n"] or 0
     room = -(-total // shards) or 1
