@@ -29,7 +29,7 @@ from .bpe import broadcast_spec, codec_of
 from .common import Scratch, one_array, resting, slices
 
 #: Bytes of text that are encoded at a time: longer stretches repeat more words.
-SLICE = 4 << 20
+SLICE = 6 << 20
 #: What the header says.
 FORMAT = "ranked stream-vbyte 1"
 #: Ids in a block, but that a document is never split between blocks.
