@@ -217,6 +217,33 @@ w AS ({done} ({one} (SELECT *, CAST(0 AS DOUBLE) AS last FROM t WHERE k = 0))
   UNION ALL {done} ({one} (SELECT t.*, w.xv AS last FROM t JOIN w ON w.field_id = t.field_id AND w.t = t.t AND t.k = w.k + 1)))"""
 
 
+def _serial_tiles(field: str, eb: float, tile: tuple[int, ...]) -> str:
+    """The same in tiles of several dimensions: w has what a tile has rebuilt so far as a list, x fastest."""
+    places, strides = 1, []
+    for size in tile:
+        strides.append(places)
+        places *= size
+    local = " + ".join(f"({a} % {t}) * {k}" for a, t, k in zip("xyz", tile, strides))
+    name = " || '/' || ".join(f"CAST({a} // {t} AS VARCHAR)" for a, t in zip("xyz", tile))
+    terms = []
+    for sign, offsets in serial.neighbours(len(tile)):  # slowest axis first
+        back = list(zip(reversed(offsets), tile, strides))
+        inside = " AND ".join(f"(g.k // {k}) % {t} >= {o}" for o, t, k in back if o)
+        terms.append(f"{sign} * CASE WHEN {inside} THEN w.xs[g.k + 1 - {sum(o * k for o, _, k in back)}] ELSE 0 END")
+    guess = " + ".join(terms)
+    step = "floor((floor(abs(v - guess) / eb) + 1) / 2) * sign(v - guess)"
+    ok = f"abs({step}) < {R} AND abs(guess + {step} * 2 * eb - v) <= eb"
+    one = f"CASE WHEN {ok} THEN guess + {step} * 2 * eb ELSE v END AS xv, CASE WHEN {ok} THEN CAST({step} AS INTEGER) + {R} ELSE 0 END AS code"
+    return f"""WITH RECURSIVE f AS ({field}), r AS (SELECT field_id, {eb!r} * (max(v) - min(v)) AS eb FROM f GROUP BY field_id),
+t AS (SELECT field_id, {name} AS tile, {local} AS k, v FROM f),
+g AS (SELECT field_id, tile, k, coalesce(v, 0) AS v, eb FROM (SELECT DISTINCT field_id, tile FROM t) CROSS JOIN range({places}) AS places(k) LEFT JOIN t USING (field_id, tile, k) JOIN r USING (field_id)),
+w AS (SELECT field_id, tile, CAST(-1 AS BIGINT) AS k, CAST([] AS DOUBLE[]) AS xs, CAST([] AS INTEGER[]) AS codes FROM g WHERE k = 0
+  UNION ALL SELECT field_id, tile, k, list_append(xs, xv), list_append(codes, code) FROM (SELECT *, {one} FROM (SELECT g.*, w.xs, w.codes, {guess} AS guess FROM g JOIN w ON w.field_id = g.field_id AND w.tile = g.tile AND g.k = w.k + 1))),
+u AS (SELECT field_id, tile, unnest(xs) AS xv, unnest(codes) AS code, unnest(range({places})) AS k FROM w WHERE k = {places - 1}),
+done AS (SELECT * FROM u JOIN t USING (field_id, tile, k))
+SELECT field_id, count(*) AS n, count(*) FILTER (code = 0) AS n_outliers, round(max(abs(v - xv)), 6) AS max_err, CAST(sum(code) AS BIGINT) AS codes FROM done GROUP BY field_id"""
+
+
 _ROUND_TRIP = " SELECT field_id, count(*) AS n, count(*) FILTER (code = 0) AS n_outliers, round(max(abs(v - xv)), 6) AS max_err, CAST(sum(code) AS BIGINT) AS codes FROM w GROUP BY field_id"
 
 
@@ -229,12 +256,12 @@ def sz14_blocked(spark, sf):
     return _summary(serial.blocked_round_trip(fields.with_error_bound(events(spark, sf), 1e-3)))
 
 
-@query()
+@query(_serial_tiles(F_EMB, 1e-3, (16, 16)))
 def sz14_blocked_2d(spark, sf):
     return _summary(serial.blocked_round_trip(fields.with_error_bound(embeddings(spark, sf), 1e-3), 2))
 
 
-@query()
+@query(_serial_tiles(F_ORDERS, 1e-3, (8, 8, 8)))
 def sz14_blocked_3d(spark, sf):
     return _summary(serial.blocked_round_trip(fields.with_error_bound(orders(spark, sf), 1e-3), 3))
 
@@ -590,16 +617,27 @@ def canonical_book_from_lengths(spark, sf):
     return huffman.canonical_book(spark.range(15).select(F.lit("lengths").alias("field_id"), c.alias("code"), F.least(c + 1, F.lit(14)).alias("len"))).withColumn("word", F.col("word").cast("bigint"))
 
 
-@query()
+# The two least items (count, number, symbols) are merged again and again; a symbol's length is the number of merges that it is in.
+_BOOK = _delta(F_EVENTS, 1e-2, ONE).replace("WITH f AS", "WITH RECURSIVE f AS", 1) + """, h AS (SELECT field_id, code, count(*) AS freq FROM p GROUP BY field_id, code),
+k AS (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY freq, code) - 1 AS k FROM h),
+m AS (SELECT field_id, list({'n': freq, 'k': k, 's': [code]} ORDER BY freq, k) AS l, count(*) AS next, CAST([] AS INTEGER[]) AS merged, CAST(0 AS BIGINT) AS pair FROM k GROUP BY field_id
+  UNION ALL SELECT field_id, list_sort(list_append(l[3:], {'n': l[1].n + l[2].n, 'k': next, 's': list_concat(l[1].s, l[2].s)})), next + 1, list_concat(l[1].s, l[2].s), l[1].n + l[2].n FROM m WHERE len(l) > 1),
+b AS (SELECT field_id, code, count(*) AS len FROM (SELECT field_id, unnest(merged) AS code FROM m) GROUP BY field_id, code),
+l AS (SELECT h.*, CAST(coalesce(b.len, 1) AS INTEGER) AS len FROM h LEFT JOIN b USING (field_id, code)),
+o AS (SELECT a.field_id, a.len, coalesce(sum(pow(2.0, a.len - b.len)), 0) AS first FROM (SELECT DISTINCT field_id, len FROM l) a LEFT JOIN l b ON b.field_id = a.field_id AND b.len > a.len GROUP BY a.field_id, a.len),
+book AS (SELECT field_id, code, freq, len, CAST(first AS BIGINT) + row_number() OVER (PARTITION BY field_id, len ORDER BY code) - 1 AS word FROM l JOIN o USING (field_id, len)),
+coded AS (SELECT field_id, i, i // 4096 AS chunk, len, word, coalesce(sum(len) OVER (PARTITION BY field_id, i // 4096 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM p JOIN book USING (field_id, code)),
+chunks AS (SELECT field_id, chunk, CAST(count(*) AS INTEGER) AS n, CAST(sum(len) AS BIGINT) AS nbit FROM coded GROUP BY field_id, chunk)"""
+
+
+@query(_BOOK + " SELECT * FROM book")
 def huffman_book(spark, sf):
     return huffman.books(hist.histogram(_p(events(spark, sf), 1e-2, 1)))
 
 
-# merges of the two least, whose sums add up to the bits of any Huffman code
-_MERGES = _delta(F_EVENTS, 1e-2, ONE).replace("WITH f AS", "WITH RECURSIVE f AS", 1) + """, h AS (SELECT field_id, count(*) AS freq FROM p GROUP BY field_id, code),
-m AS (SELECT field_id, list_sort(list(freq)) AS l, CAST(0 AS HUGEINT) AS bits, CAST(sum(freq) AS HUGEINT) AS n FROM h GROUP BY field_id
-  UNION ALL SELECT field_id, list_sort(list_append(l[3:], l[1] + l[2])), bits + l[1] + l[2], n FROM m WHERE len(l) > 1)
-SELECT field_id, CAST(n AS BIGINT) AS n, CAST(CASE WHEN bits = 0 THEN n ELSE bits END AS BIGINT) AS bits, CASE WHEN bits = 0 THEN n ELSE bits END / n AS avg_bits, 32.0 * n / CASE WHEN bits = 0 THEN n ELSE bits END AS ratio FROM m WHERE len(l) = 1"""
+# the sums of merged counts add up to the bits of any Huffman code
+_MERGES = _BOOK + """, t AS (SELECT field_id, CAST(any_value(n) AS BIGINT) AS n, CAST(CASE WHEN max(pair) = 0 THEN any_value(n) ELSE sum(pair) END AS BIGINT) AS bits FROM m JOIN (SELECT field_id, sum(freq) AS n FROM h GROUP BY field_id) USING (field_id) GROUP BY field_id)
+SELECT field_id, n, bits, bits / n AS avg_bits, 32.0 * n / bits AS ratio FROM t"""
 
 
 @query(_MERGES)
@@ -607,14 +645,19 @@ def huffman_total_bits(spark, sf):
     return huffman.total_bits(huffman.books(hist.histogram(_p(events(spark, sf), 1e-2, 1))))
 
 
-@query()
+@query(_BOOK + """, bits AS (SELECT field_id, chunk, begins + j AS spot, (word >> (len - 1 - j)) & 1 AS x FROM (SELECT *, unnest(range(len)) AS j FROM coded)),
+cells AS (SELECT field_id, chunk, CAST(sum(x * (CAST(1 AS BIGINT) << CAST(31 - spot % 32 AS INTEGER))) AS BIGINT) AS cell_sum FROM bits GROUP BY field_id, chunk)
+SELECT field_id, chunk, n, nbit, CAST((nbit + 31) // 32 AS BIGINT) AS ncell, CAST(coalesce(sum((nbit + 31) // 32) OVER (PARTITION BY field_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS entry, cell_sum FROM chunks JOIN cells USING (field_id, chunk)""")
 def huffman_encode_chunks(spark, sf):
+    """Chunks with their entries; cell_sum: the sum of the payload's 32-bit cells."""
     p = _p(events(spark, sf), 1e-2, 1)
     c = huffman.entries(huffman.encode(p, huffman.books(hist.histogram(p))))
-    return c.select("field_id", "chunk", "n", "nbit", "ncell", "entry", F.crc32("payload").alias("crc"))
+    cell = lambda k: F.conv(F.rpad(F.hex(F.substring(F.col("payload"), (4 * k + 1).cast("int"), F.lit(4))), 8, "0"), 16, 10).cast("bigint")
+    cells = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.col("ncell") - 1), F.lit(0).cast("bigint"), lambda a, k: a + cell(k))
+    return c.select("field_id", "chunk", "n", "nbit", "ncell", "entry", cells.alias("cell_sum"))
 
 
-@query()
+@query(_BOOK + " SELECT field_id, chunk, n * 32.0 / nbit AS ratio FROM chunks")
 def huffman_chunk_ratios(spark, sf):
     p = _p(events(spark, sf), 1e-2, 1)
     return huffman.ratios(huffman.encode(p, huffman.books(hist.histogram(p))))
@@ -671,7 +714,9 @@ def compress_decompress_fz(spark, sf):
     return _whole(events(spark, sf), Config(1e-2, codec="fz"))
 
 
-@query()
+@query(_BOOK + f""", a AS (SELECT field_id, CAST(count(*) * 8 AS BIGINT) AS raw_bytes, CAST(count(*) FILTER (abs(d) >= {R}) * 12 AS BIGINT) AS outlier_bytes FROM p GROUP BY field_id),
+c AS (SELECT field_id, CAST(sum((nbit + 7) // 8) AS BIGINT) AS code_bytes FROM chunks GROUP BY field_id), k2 AS (SELECT field_id, CAST(count(*) * 8 AS BIGINT) AS book_bytes FROM book GROUP BY field_id)
+SELECT *, outlier_bytes + code_bytes + book_bytes AS total_bytes, raw_bytes / (outlier_bytes + code_bytes + book_bytes) AS ratio FROM a JOIN c USING (field_id) JOIN k2 USING (field_id)""")
 def archive_sizes(spark, sf):
     return pipeline.sizes(pipeline.compress(events(spark, sf), Config(1e-2)))
 
