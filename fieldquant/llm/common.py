@@ -97,6 +97,8 @@ class Scratch:
         self._n += 1
         at = f"{self.root}/{self._n:03d}-{name}"
         w = df.write.option("compression", codec)
+        if self._fs.getUri().getScheme() == "file":  # a mounted folder: no checksum beside each file, each of which is a process started
+            w = w.option("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem").option("fs.file.impl.disable.cache", "true")
         (w.partitionBy(by) if by else w).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch_path = at

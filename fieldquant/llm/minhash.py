@@ -76,8 +76,24 @@ def minima(sets: np.ndarray, bounds: np.ndarray, n: int, seed: int = 1) -> np.nd
     return out
 
 
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    keys = np.zeros((len(sig), bands), np.uint64)
+    for i in range(bands):
+        x = np.full(len(sig), i + 1, np.uint64)
+        for r in range(rows):
+            x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + sig[:, i * rows + r])
+        keys[:, i] = x
+    return keys
+
+
+def _lists(values: np.ndarray, full: np.ndarray) -> pa.Array:
+    """Rows of values as lists, empty where full is false."""
+    at = np.concatenate([[0], np.cumsum(full * values.shape[1])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(values.reshape(-1).view(np.int64)))
+
+
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n (set size), h1, h2 (the set's identity), sig, bands of every row."""
+    """doc_id, n (set size), h1, h2 (the set's identity), bands of every row."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -86,41 +102,33 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 sets, bounds = shingle_sets(one_array(b.column("text")), k)
                 size = np.diff(bounds)
                 full = size > 0
-                sig = minima(sets, bounds, bands * rows)
-                keys = np.zeros((len(sig), bands), np.uint64)
-                for i in range(bands):
-                    x = np.full(len(sig), i + 1, np.uint64)
-                    for r in range(rows):
-                        x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + sig[:, i * rows + r])
-                    keys[:, i] = x
+                keys = band_keys(minima(sets, bounds, bands * rows), bands, rows)
                 h = np.zeros((2, len(size)), np.uint64)
                 if full.any():
                     at = bounds[:-1][full]
                     h[0, full] = np.add.reduceat(mix64(sets), at)
                     h[1, full] = np.add.reduceat(mix64(sets ^ np.uint64(0xD6E8FEB86659FD93)), at)
-                raw = np.full(len(size), None, object)
-                raw[full] = [x.tobytes() for x in sig]
-                lists = np.concatenate([[0], np.cumsum(full * bands)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(size), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(raw.tolist(), pa.binary()), pa.ListArray.from_arrays(pa.array(lists), pa.array(keys.reshape(-1).view(np.int64)))],
-                    names=["doc_id", "n", "h1", "h2", "sig", "bands"],
-                )
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), _lists(keys, full)], names=["doc_id", "n", "h1", "h2", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(resting(run), f"doc_id {kind}, n bigint, h1 bigint, h2 bigint, sig binary, bands array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(resting(run), f"doc_id {kind}, n bigint, h1 bigint, h2 bigint, bands array<bigint>")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of documents."""
+def _sets(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    """(node, sig, bands, shingles) of documents with words: minima, band keys and the full set."""
 
     def run(batches):
         for big in batches:
             for b in slices(big):
                 sets, bounds = shingle_sets(one_array(b.column("text")), k)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["node", "shingles"])
+                full = np.diff(bounds) > 0
+                sig = minima(sets, bounds, bands * rows)
+                at = pa.array(np.append(bounds[:-1][full], bounds[-1]).astype(np.int32))
+                shingles = pa.ListArray.from_arrays(at, pa.array(sets.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(pa.array(full)), pa.array([x.tobytes() for x in sig], pa.binary()), _lists(band_keys(sig, bands, rows), np.ones(len(sig), bool)), shingles], names=["node", "sig", "bands", "shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(resting(run), f"node {kind}, shingles array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(resting(run), f"node {kind}, sig binary, bands array<bigint>, shingles array<bigint>")
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -218,26 +226,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     members = scratch.write(by_band.join(buckets, F.col("band") == F.col("key")).select("band", "node", "size", "least"), "members", dealt=True)
     # signatures and full sets of all members of such buckets; by shuffle at any size, the list of members grows with the corpus
     nodes = members.select("node").distinct()
-    sigs = full.select(F.col("doc_id").alias("node"), "h1", "sig", "bands").join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node", "h1"])
-    sigs = scratch.write(sigs.select("node", "sig", "bands"), "sigs")
     texts = docs.select("doc_id", "text").join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")
-    sets = scratch.write(_sets(texts, k), "sets")
+    sets = scratch.write(_sets(texts, k, bands, rows), "sets")
 
     pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = _confirmed(_alike(pairs, sigs, least).distinct(), sets, percent)
+    links = _confirmed(_alike(pairs, sets, least).distinct(), sets, percent)
     comps = connected(links, scratch, "a", "b")
 
     placed = members.join(comps.withColumnRenamed("node", "w"), F.col("node") == F.col("w"), "left").select("band", "node", "size", F.coalesce("component", "node").alias("comp"))
     mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("band").alias("key"))
     # pairs with a bucket's smallest member have been compared: a bucket of two has no other
     rest = placed.filter("size > 2").join(mixed, F.col("band") == F.col("key"), "left_semi")
-    for payload in (sigs, sets):
-        rest = rest.join(payload.withColumnRenamed("node", "w"), F.col("node") == F.col("w")).drop("w")
+    rest = rest.join(sets.withColumnRenamed("node", "w"), F.col("node") == F.col("w")).drop("w")
     more = scratch.write(_blocks(rest, least, percent), "more", dealt=True)
     if more.take(1):
         stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
         comps = connected(more.unionByName(stars), scratch, "a", "b")
-    scratch.drop(members, sigs, sets)
+    scratch.drop(members, sets)
 
     home = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"))
     home = home.join(comps.withColumnRenamed("node", "w"), F.col("node") == F.col("w"), "left").select(F.col("n").alias("n_"), F.col("h1").alias("h1_"), F.col("h2").alias("h2_"), F.coalesce("component", "node").alias("component"))
