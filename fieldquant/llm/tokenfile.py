@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .bpe import broadcast_spec, codec_of
 from .common import Scratch, one_array, resting, slices
 
-#: Bytes of text that are encoded at a time: longer stretches repeat more words.
-SLICE = 6 << 20
+#: Bytes of text that are encoded at a time, and words that a worker remembers.
+SLICE, KNOWN = 6 << 20, 400_000
 #: What the header says.
 FORMAT = "ranked stream-vbyte 1"
 #: Ids in a block, but that a document is never split between blocks.
@@ -82,6 +82,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def run(batches):
         codec = codec_of(spec)
+        codec.KNOWN = KNOWN
         size = max(codec.size, end_id + 1)
         wide = width(size)
         counts = np.zeros(size, np.int64)
