@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import HELD, filled, one_array, resting, ship, slices
+from .common import HELD, filled, mix64, one_array, resting, ship, slices
 
 _NONE = np.int64(1) << np.int64(60)
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
@@ -43,10 +43,117 @@ def _classes() -> np.ndarray:
     return out
 
 
-def _lookup(keys: np.ndarray, values: np.ndarray, ask: np.ndarray, missing: int) -> np.ndarray:
-    at = np.searchsorted(keys, ask)
-    np.minimum(at, len(keys) - 1, out=at)
-    return np.where(keys[at] == ask, values[at], missing)
+class _Map:
+    """A fixed map of whole numbers >= 0: one in four slots at most is full, so most questions take one look."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        live, at = np.arange(len(keys)), self._home(keys)
+        while len(live):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[live[free]]  # one of those that meet in a slot stays
+            here = self.keys[at] == keys[live]
+            self.values[at[here]] = values[live[here]]
+            live, at = live[~here], (at[~here] + 1) & (len(self.keys) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def get(self, ask: np.ndarray, missing: int) -> np.ndarray:
+        """The values, in the shape of ask; missing where there is none, and for what is below 0."""
+        shape, ask = ask.shape, ask.ravel()
+        at = self._home(ask)
+        held = self.keys[at]
+        same = (held == ask) & (ask >= 0)
+        out = np.where(same, self.values[at], missing)
+        live = np.flatnonzero(~same & (held >= 0) & (ask >= 0))  # an empty slot ends the search
+        at = at[live]
+        while len(live):
+            at = (at + 1) & (len(self.keys) - 1)
+            held = self.keys[at]
+            same = held == ask[live]
+            out[live[same]] = self.values[at[same]]
+            on = ~same & (held >= 0)
+            live, at = live[on], at[on]
+        return out.reshape(shape)
+
+
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    """a with room for n rows, twice as many as before at least."""
+    if n <= len(a):
+        return a
+    out = np.zeros((max(n, 2 * len(a)), *a.shape[1:]), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
+class _Known:
+    """Words with their tokens: a hash table in arrays.
+
+    A key is the word itself (at most LONGEST bytes, padded with zeros) and its
+    length, so words are compared whole.
+    """
+
+    LONGEST = 23
+
+    def __init__(self):
+        self.n, self.used = 0, 0
+        self.keys = np.zeros((1 << 10, 3), np.uint64)
+        self.first, self.count = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.tokens = np.zeros(1 << 12, np.int32)
+        self.slots = np.full(1 << 11, -1, np.int32)
+
+    @classmethod
+    def keys_of(cls, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """A row a word; of words that are too long the row means nothing."""
+        size = np.minimum(np.diff(offsets), cls.LONGEST)
+        pad = np.concatenate([data, np.zeros(24, np.uint8)])
+        eight = np.ndarray(len(pad) - 7, "<u8", pad, strides=(1,))  # the eight bytes from each byte on
+        upto = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+        out = np.empty((len(size), 3), np.uint64)
+        for k in range(3):
+            out[:, k] = eight[offsets[:-1] + 8 * np.minimum(k, size >> 3)] & upto[np.clip(size - 8 * k, 0, 8)]
+        out[:, 2] |= size.astype(np.uint64) << np.uint64(56)
+        return out
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        h = mix64(mix64(mix64(keys[:, 0]) ^ keys[:, 1]) ^ keys[:, 2])
+        return (h & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each word, or -1."""
+        out, at, live, most = np.full(len(keys), -1, np.int64), self._home(keys), np.arange(len(keys)), len(self.slots) - 1
+        while len(live):
+            k = self.slots[at]
+            held = k >= 0  # an empty slot ends the search
+            live, at, k = live[held], at[held], k[held]
+            same = (self.keys[k] == keys[live]).all(axis=1)
+            out[live[same]] = k[same]
+            live, at = live[~same], (at[~same] + 1) & most
+        return out
+
+    def _place(self, live: np.ndarray) -> None:
+        at, most = self._home(self.keys[live]), len(self.slots) - 1
+        while len(live):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = live[free]  # one of those that meet in a slot stays
+            out = self.slots[at] != live
+            live, at = live[out], (at[out] + 1) & most
+
+    def add(self, keys: np.ndarray, count: np.ndarray, tokens: np.ndarray) -> None:
+        """Distinct words that are not held."""
+        n, used = self.n + len(keys), self.used + len(tokens)
+        self.keys, self.first, self.count, self.tokens = _grown(self.keys, n), _grown(self.first, n), _grown(self.count, n), _grown(self.tokens, used)
+        self.keys[self.n : n], self.count[self.n : n], self.tokens[self.used : used] = keys, count, tokens
+        self.first[self.n : n] = self.used + np.cumsum(count) - count
+        new = np.arange(self.n, n)
+        self.n, self.used = n, used
+        if 2 * n > len(self.slots):
+            self.slots = np.full(1 << (2 * n).bit_length(), -1, np.int32)
+            new = np.arange(n)
+        self._place(new)
 
 
 class Codec:
@@ -79,10 +186,10 @@ class Codec:
         pairs = (self.left[256:] << 32) | self.right[256:]
         order = np.argsort(pairs)
         self.pair_keys, self.pair_to = pairs[order], order.astype(np.int64) + 256
+        self.pairs = _Map(self.pair_keys, self.pair_to)
         self._trie(names)
         self.classes = _classes()
-        self.known: dict[bytes, int] = {}
-        self.store = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.known = _Known()
         self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
         size = max([*vocab.values(), *self.special.values()]) + 1
         by_id: list[bytes] = [b""] * size
@@ -107,8 +214,7 @@ class Codec:
                     end.append(-1)
                 node = to
             end[node] = t
-        self.trie_keys = np.array(sorted(child), np.int64)
-        self.trie_to = np.array([child[k] for k in self.trie_keys.tolist()], np.int64)
+        self.trie = _Map(np.array(list(child), np.int64), np.array(list(child.values()), np.int64))
         self.trie_end = np.array(end, np.int64)
 
     # ------------------------------------------------------------- words
@@ -117,22 +223,20 @@ class Codec:
         """Byte offsets at which words begin; bounds: offsets of the pieces that share no word."""
         if not len(data):
             return np.zeros(0, np.int64)
-        wide = bool((data >= 0x80).any())
-        lead = np.flatnonzero((data & 0xC0) != 0x80) if wide else None
-        code = (data if lead is None else data[lead]).astype(np.int32)
+        head = (data & 0xC0) != 0x80
+        lead = None if head.all() else np.flatnonzero(head)
+        code = data if lead is None else data[head]  # first bytes: characters of ASCII by themselves
+        n = len(code)
+        cls = np.frombuffer(bytearray(code.tobytes().translate(self.classes[:256].tobytes())), np.uint8)
         if lead is not None:
             pad = np.concatenate([data, np.zeros(3, np.uint8)])
-            for n, low, mask in ((2, 0xC0, 0x1F), (3, 0xE0, 0x0F), (4, 0xF0, 0x07)):
-                high = {2: 0xE0, 3: 0xF0, 4: 0x100}[n]
+            for size, low, high, mask in ((2, 0xC0, 0xE0, 0x1F), (3, 0xE0, 0xF0, 0x0F), (4, 0xF0, 0x100, 0x07)):
                 at = np.flatnonzero((code >= low) & (code < high))
                 if len(at):
-                    c = code[at] & mask
-                    for k in range(1, n):
+                    c = (code[at] & mask).astype(np.int32)
+                    for k in range(1, size):
                         c = c << 6 | (pad[lead[at] + k] & 0x3F)
-                    code[at] = np.where(c < 0x110000, c, 0xFFFD) | (1 << 24)  # marked: not a lead byte any more
-            code &= 0xFFFFFF
-        n = len(code)
-        cls = self.classes[code]
+                    cls[at] = self.classes[np.where(c < 0x110000, c, 0xFFFD)]
         first = np.zeros(n + 1, bool)  # of pieces
         at = bounds[bounds < len(data)]
         first[at if lead is None else np.searchsorted(lead, at)] = True
@@ -150,7 +254,7 @@ class Codec:
         for i in np.flatnonzero(code == 0x27).tolist():
             if not first[i] and i and (cls[i - 1] == _OTHER or blank[i - 1]):
                 continue
-            rest = bytes(code[i + 1 : i + 3].clip(0, 255).astype(np.uint8))
+            rest = code[i + 1 : i + 3].tobytes()
             k = 2 if rest[:1] in (b"s", b"t", b"m", b"d") else 3 if rest in (b"re", b"ve", b"ll") else 0
             if k and not first[i + 1 : i + k].any():
                 start[i + 1] = False
@@ -172,43 +276,42 @@ class Codec:
         if not len(bad):
             return tokens, bounds
         wrong = np.unique(np.searchsorted(bounds, bad, side="right") - 1)
-        mended = self._merge_exactly(data, offsets, wrong)
+        mended, each = self._merge_exactly(data, offsets, wrong)
         count = np.diff(bounds)
-        count[wrong] = [len(m) for m in mended]
+        count[wrong] = each
         new = np.concatenate([[0], np.cumsum(count)])
         out = np.empty(new[-1], np.int64)
         right = np.ones(n, bool)
         right[wrong] = False
         keep = np.repeat(right, np.diff(bounds))
         out[np.repeat(right, count)] = tokens[keep]
-        out[np.repeat(~right, count)] = np.concatenate(mended)
+        out[np.repeat(~right, count)] = mended
         return out, new
 
-    def _known_words(self, uniq: pa.Array, data, offsets):
+    def _known_words(self, data, offsets):
         """encode_words() for what this worker has not met yet; memory is bounded by KNOWN words."""
-        known, store = self.known, self.store
-        words = uniq.to_pylist()
-        at = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+        known, length = self.known, np.diff(offsets)
+        keys, short = known.keys_of(data, offsets), length <= known.LONGEST
+        at = np.where(short, known.find(keys), -1)
         new = np.flatnonzero(at < 0)
-        if len(new):
-            size = np.diff(offsets)[new]
-            no = np.concatenate([[0], np.cumsum(size)])
-            part = data[np.repeat(offsets[new] - no[:-1], size) + np.arange(no[-1])]
-            tokens, tb = self.encode_words(part, no)
-        else:
-            tokens, tb = np.zeros(0, np.int64), np.zeros(1, np.int64)
-        flat, bounds = store
-        first = np.where(at >= 0, bounds[at], 0)
-        count = np.where(at >= 0, bounds[np.minimum(at + 1, len(bounds) - 1)] - first, 0)
-        first[new], count[new] = tb[:-1] + len(flat), np.diff(tb)
-        both = np.concatenate([flat, tokens.astype(np.int32)])
+        first, count = known.first[at], known.count[at]
+        if not len(new):
+            out = np.concatenate([[0], np.cumsum(count)])
+            return known.tokens[np.repeat(first - out[:-1], count) + np.arange(out[-1])].astype(np.int64), out
+        size = length[new]
+        no = np.concatenate([[0], np.cumsum(size)])
+        tokens, tb = self.encode_words(data[np.repeat(offsets[new] - no[:-1], size) + np.arange(no[-1])], no)
+        first[new], count[new] = tb[:-1], np.diff(tb)
         out = np.concatenate([[0], np.cumsum(count)])
-        got = both[np.repeat(first - out[:-1], count) + np.arange(out[-1])].astype(np.int64)
-        n = len(bounds) - 1
-        if n + len(new) <= self.KNOWN:
-            for k, i in enumerate(new.tolist()):
-                known[words[i]] = n + k
-            self.store = both, np.concatenate([bounds, bounds[-1] + tb[1:]])
+        here = np.repeat(first - out[:-1], count) + np.arange(out[-1])
+        fresh = np.repeat(at < 0, count)
+        got = np.empty(out[-1], np.int64)
+        got[fresh], got[~fresh] = tokens, known.tokens[here[~fresh]]
+        keep = np.flatnonzero(short[new])[: max(0, self.KNOWN - known.n)]
+        if len(keep):
+            kept = np.zeros(len(new), bool)
+            kept[keep] = True
+            known.add(keys[new[keep]], count[new[keep]], tokens[np.repeat(kept, count[new])])
         return got, out
 
     #: Words whose tokens a worker remembers; beyond it words are encoded anew each time.
@@ -227,7 +330,7 @@ class Codec:
             best, upto = np.full(len(who), -1, np.int64), p.copy()
             live = np.arange(len(who))
             while len(live):
-                node = _lookup(self.trie_keys, self.trie_to, node << 8 | data[p[live]], -1)
+                node = self.trie.get(node << 8 | data[p[live]], -1)
                 ok = node >= 0
                 live, node = live[ok], node[ok]
                 p[live] += 1
@@ -260,7 +363,7 @@ class Codec:
         limit = np.full(len(a), _NONE)
         while len(live):
             x, y = a[live], b[live]
-            bad = _lookup(self.pair_keys, self.pair_to, (x << 32) | y, _NONE) < limit[live]
+            bad = self.pairs.get((x << 32) | y, _NONE) < limit[live]
             ok[live[bad]] = False
             live, x, y = live[~bad], x[~bad], y[~bad]
             # the later merge of the two is undone; a byte has none
@@ -273,15 +376,16 @@ class Codec:
             b[live] = np.where(left, y, self.left[y])
         return ok
 
-    def _merge_exactly(self, data, offsets, which: np.ndarray, width: int = 40) -> list[np.ndarray]:
+    def _merge_exactly(self, data, offsets, which: np.ndarray, width: int = 40) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, how many a word) of the words ``which``."""
         size = (offsets[1:] - offsets[:-1])[which]
-        out: list[np.ndarray] = [None] * len(which)  # type: ignore[list-item]
+        found = []  # (words, a row of tokens each, -1 for none)
         for k in np.flatnonzero(size > width).tolist():
             w = which[k]
-            out[k] = self._merge_long(data[offsets[w] : offsets[w + 1]])
+            found.append((np.array([k]), self._merge_long(data[offsets[w] : offsets[w + 1]])[None, :]))
         todo = np.flatnonzero(size <= width)
         todo = todo[np.argsort(size[todo], kind="stable")]
-        for block in np.array_split(todo, max(1, len(todo) // 20000)):
+        for block in np.array_split(todo, max(1, len(todo) // 1500)):  # words of about one length, so rows are short and stay in the cache
             if not len(block):
                 continue
             n, most = size[block], int(size[block].max())
@@ -290,17 +394,15 @@ class Codec:
             inside = col < n[:, None]
             t = np.where(inside, data[np.where(inside, at, 0)].astype(np.int64), -1)
             rows = np.arange(len(block))
-            done = [None] * len(block)
+            done = np.full((len(block), most), -1, np.int64)
             none = np.full((len(block), 1), _NONE)
-            to = np.hstack([_lookup(self.pair_keys, self.pair_to, np.where(t[:, 1:] >= 0, (t[:, :-1] << 32) | t[:, 1:], -1), _NONE), none])
+            to = np.hstack([self.pairs.get(np.where(t[:, 1:] >= 0, (t[:, :-1] << 32) | t[:, 1:], -1), _NONE), none])
             while len(rows):
                 each = np.arange(len(rows))
                 j = to.argmin(axis=1)
                 best = to[each, j]
                 rest = best == _NONE
-                for r in np.flatnonzero(rest).tolist():
-                    x = t[r]
-                    done[rows[r]] = x[x >= 0]
+                done[rows[rest], : t.shape[1]] = t[rest]
                 rows, t, to, j, best = rows[~rest], t[~rest], to[~rest], j[~rest], best[~rest]
                 if not len(rows):
                     break
@@ -312,12 +414,19 @@ class Codec:
                 for at in (j - 1, j):  # only the pairs beside the new token are new
                     k = np.flatnonzero((at >= 0) & (at + 1 < t.shape[1]))
                     x, y = t[k, at[k]], t[k, at[k] + 1]
-                    to[k, at[k]] = _lookup(self.pair_keys, self.pair_to, np.where(y >= 0, (x << 32) | y, -1), _NONE)
+                    to[k, at[k]] = self.pairs.get(np.where(y >= 0, (x << 32) | y, -1), _NONE)
                 k = np.flatnonzero(j == t.shape[1] - 1)
                 to[k, j[k]] = _NONE
-            for k, x in zip(block.tolist(), done):
-                out[k] = x
-        return out
+            found.append((block, done))
+        count = np.zeros(len(which), np.int64)
+        for k, x in found:
+            count[k] = (x >= 0).sum(axis=1)
+        begin = np.cumsum(count) - count
+        out = np.empty(count.sum(), np.int64)
+        for k, x in found:
+            n = count[k]
+            out[np.repeat(begin[k] - np.cumsum(n) + n, n) + np.arange(n.sum())] = x[x >= 0]
+        return out, count
 
     def _merge_long(self, data: np.ndarray) -> np.ndarray:
         """A heap of pairs over a linked list: n log n for one word of any length."""
@@ -325,7 +434,7 @@ class Codec:
         n = len(t)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         alone = np.array(t, np.int64)
-        first = _lookup(self.pair_keys, self.pair_to, (alone[:-1] << 32) | alone[1:], _NONE)
+        first = self.pairs.get((alone[:-1] << 32) | alone[1:], _NONE)
         heap = [(int(r), i) for i, r in enumerate(first.tolist()) if r != _NONE]
         heapq.heapify(heap)
         keys, to, none = self.pair_keys, self.pair_to, int(_NONE)
@@ -387,7 +496,7 @@ class Codec:
             words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
             uniq = words.dictionary
             uo = np.frombuffer(uniq.buffers()[1], np.int64)[uniq.offset : uniq.offset + len(uniq) + 1]
-            tokens, tb = self._known_words(uniq, np.frombuffer(uniq.buffers()[2], np.uint8), uo)
+            tokens, tb = self._known_words(np.frombuffer(uniq.buffers()[2], np.uint8), uo)
             codes = words.indices.to_numpy(zero_copy_only=False)
             count = np.diff(tb)[codes]
             total = np.concatenate([[0], np.cumsum(count)])

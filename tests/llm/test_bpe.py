@@ -147,3 +147,33 @@ def test_frequent_ids_take_one_byte_and_blocks_hold_whole_documents(spark, sf, m
     rank = {r.id: r.rank for r in f.ranks.collect()}
     assert [n[i] for i in sorted(rank, key=rank.get)] == sorted(n.tolist(), reverse=True)
     assert sum(len(r.data) for r in b) == sum(1 + (rank[i] > 255) for i in ids)
+
+
+def test_words_that_fit_are_remembered_even_if_not_all_do(library, monkeypatch):
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        codec = Codec(f.read())
+    monkeypatch.setattr(Codec, "KNOWN", 30)
+    asked, encode_words = [], codec.encode_words
+    monkeypatch.setattr(codec, "encode_words", lambda data, offsets: asked.append(len(offsets) - 1) or encode_words(data, offsets))
+    many = [f" word{chr(97 + k)}{chr(97 + j)}" for k in range(5) for j in range(8)] + [" " + "long" * 20]
+    for _ in range(3):
+        assert ids_of(codec, many) == [library.encode(t, add_special_tokens=False).ids for t in many]
+    assert asked == [41, 11, 11]
+
+
+def test_words_that_differ_in_little_are_told_apart(codec, library):
+    many = [" " + x for n in (6, 7, 8, 14, 15, 16, 21, 22, 23, 24, 40) for x in ("a" * n, "a" * (n - 1) + "b", "b" + "a" * (n - 1), "é" * (n // 2))]
+    many += ["\x00" * n for n in range(1, 26)]
+    for _ in range(2):  # new, then known
+        assert ids_of(codec, many) == [library.encode(t, add_special_tokens=False).ids for t in many]
+    assert ids_of(codec, many[::-1]) == [library.encode(t, add_special_tokens=False).ids for t in many[::-1]]
+
+
+def test_fixed_maps():
+    rng = np.random.default_rng(5)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 60, 3000), np.arange(3000) << 32, np.arange(300)]))
+    m = bpe._Map(keys, np.arange(len(keys)))
+    ask = np.concatenate([keys, keys + 1, [-1, 7 << 40]])[: 2 * len(keys)].reshape(2, -1)
+    want = {int(k): v for v, k in enumerate(keys)}
+    assert m.get(ask, -5).tolist() == [[want.get(int(k), -5) for k in row] for row in ask]
+    assert m.get(np.array([-1, -2]), -5).tolist() == [-5, -5] and m.get(np.zeros((3, 0), np.int64), -5).shape == (3, 0)
