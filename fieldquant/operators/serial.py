@@ -2,12 +2,15 @@
 
 In tiles, all tiles of a batch advance together: a loop over the places of a tile,
 vectorised over tiles.  Over a whole field the recursion runs through every
-element; elements come in order and only the last line (of two dimensions) or plane
-(of three) is held, so memory doesn't grow with a field, but a field is one task.
+element, and a field is one task; memory doesn't grow with it.  That task gets
+segments that others have packed and hands on segments that others unpack.  In two
+and three dimensions it goes from diagonal to diagonal (places whose coordinates have
+the same sum don't predict each other), vectorised over the places of one.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -21,6 +24,10 @@ from ..sources.fields import tile_keys, with_tiles
 
 #: Tiles of one, two and three dimensions.
 TILES = {1: (256,), 2: (16, 16), 3: (8, 8, 8)}
+#: Elements of a whole field that travel as one row: as many lines or planes as fit, one at least.
+SEGMENT = 1 << 17
+#: Rows of a batch of elements that have been unpacked.
+UNPACKED = 10_000
 
 
 def neighbours(ndim: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -149,61 +156,223 @@ def prequantized_tiles(df: DataFrame, ndim: int, q: str = "q", tile: tuple[int,
     return _in_tiles(df, tile or TILES[ndim], q, work, [(q, "double"), ("out", "int"), ("back", "double")])
 
 
+@functools.lru_cache(maxsize=2)
+def diagonals(shape: tuple[int, ...]) -> list[np.ndarray]:
+    """Places of a block in the order of the sum of their coordinates, one array a sum: where the farthest neighbour of
+    each is in the flat block with one more place before each axis."""
+    axes = np.ogrid[tuple(slice(s) for s in shape)]
+    strides = [math.prod(s + 1 for s in shape[k + 1 :]) for k in range(len(shape))]
+    far = sum(axes).ravel()
+    at = sum(a * s for a, s in zip(axes, strides)).ravel()[np.argsort(far, kind="stable")]
+    return np.split(at, np.cumsum(np.bincount(far))[:-1])
+
+
+def compensated(terms):
+    """The sum of numbers or arrays with the rounding errors of its additions added at its end, as sum() has it for floats
+    since Python 3.12: diagonals and single points round alike."""
+    s, lost = next(terms, 0.0), 0.0
+    for a in terms:
+        t = s + a
+        b = t - s
+        lost = lost + ((s - (t - b)) + (a - b))
+        s = t
+    return s + lost
+
+
+def quantized_one(v: float, guess: float, eb: float, radius: int) -> tuple[int, float]:
+    """quantized() of one number."""
+    e = v - guess
+    far = abs(e) / eb
+    if far < 2 * radius:  # NaN is not
+        step = (int(far) + 1) // 2
+        if e < 0:
+            step = -step
+        near = guess + step * 2 * eb
+        if -radius < step < radius and abs(near - v) <= eb:
+            return step + radius, near
+    return 0, v
+
+
 class _Whole:
-    """The recursion over one field in the order of i: lx and ly say how far back neighbours are."""
+    """One way (coder or decoder) over one field in the order of i.  It remembers what it made last, as far back as a
+    neighbour can be."""
+
+    def __init__(self, ndim: int, lx: int, ly: int):
+        self.inner = ((), (lx,), (ly, lx))[ndim - 1]  # lengths of the axes but the slowest, slowest first
+        self.plane = math.prod(self.inner)
+        self.strides = [math.prod(self.inner[k:]) for k in range(ndim)]
+        self.signs = neighbours(ndim)
+        self.last = np.zeros(sum(self.strides) + 1)
+        self.ring: list[float] = []
+
+    def remember(self, x: np.ndarray) -> None:
+        n = len(self.last)
+        self.last = x[-n:].copy() if len(x) >= n else np.concatenate([self.last[len(x) :], x])
+
+    def line(self, n: int, visit) -> np.ndarray:
+        """The next n elements of a field of one dimension: visit(number, guess) -> value."""
+        x, guess = [0.0] * n, float(self.last[-1])
+        for k in range(n):
+            x[k] = guess = visit(k, guess)
+        x = np.array(x)
+        self.remember(x)
+        return x
 
-    def __init__(self, ndim: int, lx: int, ly: int, eb: float, radius: int):
-        strides = (1, lx, lx * ly)[:ndim]
-        self.back = [(sign, sum(o * s for o, s in zip(offsets, strides)), offsets) for sign, offsets in neighbours(ndim)]
-        self.lx, self.ly, self.eb, self.radius = lx, ly, eb, radius
-        self.reach = sum(strides)
-        self.ring = [0.0] * (self.reach + 1)
-
-    def guess(self, i: int) -> float:
-        place = (i % self.lx, (i // self.lx) % self.ly, i // (self.lx * self.ly)) if self.lx else (i,)
-        n = self.reach + 1
-        return sum(sign * self.ring[(i - far) % n] for sign, far, o in self.back if all(p >= b for p, b in zip(place, o)))
-
-    def put(self, i: int, value: float) -> None:
-        self.ring[i % (self.reach + 1)] = value
-
-    def quantize(self, i: int, v: float) -> tuple[int, float]:
-        g = self.guess(i)
-        e = v - g
-        step = (math.floor(abs(e) / self.eb) + 1) // 2
-        near = g + math.copysign(step, e) * 2 * self.eb
-        ok = step < self.radius and abs(near - v) <= self.eb
-        self.put(i, near if ok else v)
-        return (int(math.copysign(step, e)) + self.radius, near) if ok else (0, v)
-
-    def rebuild(self, i: int, code: int, kept: float) -> float:
-        x = kept if code == 0 else self.guess(i) + (code - self.radius) * 2 * self.eb
-        self.put(i, x)
+    def lay(self, a: np.ndarray) -> np.ndarray:
+        """Elements of whole lines or planes as a flat block with one more place before each axis."""
+        shape = (-(-len(a) // self.plane), *self.inner)
+        full = np.zeros(math.prod(shape), a.dtype)
+        full[: len(a)] = a
+        return np.pad(full.reshape(shape), [(1, 0)] * len(shape)).ravel()
+
+    def lift(self, flat: np.ndarray, n: int) -> np.ndarray:
+        """The n elements that lay() laid."""
+        whole = flat.reshape(-1, *(s + 1 for s in self.inner))
+        return whole[(slice(1, None),) * whole.ndim].ravel()[:n]
+
+    def block(self, n: int, visit) -> np.ndarray:
+        """The next n elements, which begin a line or plane: visit(places as lay() has them, guesses) -> values."""
+        shape = (-(-n // self.plane), *self.inner)
+        x = np.zeros([s + 1 for s in shape])
+        x[(0, *(slice(1, None),) * len(self.inner))] = self.last[-self.plane :].reshape(self.inner)
+        flat = x.ravel()
+        strides = [math.prod(s + 1 for s in shape[k + 1 :]) for k in range(len(shape))]
+        reach = sum(strides)
+        back = [(sign, flat[reach - sum(o * s for o, s in zip(reversed(offsets), strides)) :]) for sign, offsets in self.signs]
+        for at in diagonals(shape):
+            guess = compensated(part[at] if sign > 0 else -part[at] for sign, part in back)
+            here = at + reach
+            flat[here] = visit(here, guess)
+        out = self.lift(flat, n)
+        self.remember(out)
+        return out
+
+    def points(self, i: list[int], at: int, visit) -> np.ndarray:
+        """Elements of indices i with gaps or repeats, one after another, once all up to `at` had none: visit(number, guess) ->
+        value.  For a missing neighbour counts what was in its place of a ring before."""
+        n = len(self.last)
+        if not self.ring:
+            self.ring = [0.0] * n
+            for k, value in enumerate(self.last.tolist()):
+                self.ring[(at - n + k) % n] = value
+        x = np.empty(len(i))
+        for k, j in enumerate(i):
+            place = [j // s for s in self.strides]
+            place[1:] = [p % size for p, size in zip(place[1:], self.inner)]
+            near = ((sign, [(o, s) for o, s in zip(reversed(offsets), self.strides)]) for sign, offsets in self.signs)
+            terms = (sign * self.ring[(j - sum(o * s for o, s in far)) % n] for sign, far in near if all(p >= o for p, (o, _) in zip(place, far)))
+            x[k] = self.ring[j % n] = visit(k, compensated(terms))
         return x
 
 
+class _RoundTrip:
+    """Coder and decoder of one field."""
+
+    def __init__(self, ndim: int, lx: int, ly: int, eb: float, radius: int):
+        self.there, self.back = _Whole(ndim, lx, ly), _Whole(ndim, lx, ly)
+        self.ndim, self.eb, self.radius = ndim, max(float(eb), 1e-300), radius
+        self.at: int | None = 0  # the next index; None after a gap or repeat
+
+    def run(self, i: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, rebuilt) of the field's next segment."""
+        at, eb, radius, n = self.at, self.eb, self.radius, len(v)
+        dense = i[0] == at and bool((np.diff(i) == 1).all())
+        self.at = at + n if dense else None
+        if dense and self.ndim > 1:
+            laid = self.there.lay(v)
+            codes = np.zeros(len(laid), np.int64)
+
+            def coded(here, guess):
+                codes[here], near = quantized(laid[here], guess, eb, radius)
+                return near
+
+            def decoded(here, guess):
+                c = codes[here]
+                return np.where(c == 0, laid[here], guess + (c - radius) * 2 * eb)
+
+            with np.errstate(all="ignore"):  # NaN and values without a near multiple of the bound are kept as they are
+                self.there.block(n, coded)
+                return self.there.lift(codes, n), self.back.block(n, decoded)
+        values, found = v.tolist(), [0] * n
+
+        def code(k, guess):
+            found[k], near = quantized_one(values[k], guess, eb, radius)
+            return near
+
+        def decode(k, guess):
+            return guess + (found[k] - radius) * 2 * eb if found[k] else values[k]
+
+        made = [w.line(n, visit) if dense else w.points(i.tolist(), at, visit) for w, visit in ((self.there, code), (self.back, decode))]
+        return np.array(found), made[1]
+
+
+def _packed(batches):
+    """Rows in the order of field_id, part, i -> one row a part: its indices and values as bytes, and the bound of its first."""
+
+    def row():
+        i, v, eb = (np.concatenate(c) for c in zip(*pieces))
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.string()), pa.array([now[1]], pa.int64()), pa.array(eb[:1]), pa.array([i.tobytes()]), pa.array([v.tobytes()])], names=["field_id", "part", "eb", "i", "v"])
+
+    now, pieces = None, []
+    for b in batches:
+        columns = [b.column(c) for c in ("part", "i", "v", "eb")]
+        if any(c.null_count for c in columns):
+            raise ValueError("indices, values and bounds of a field are not null")
+        part, i, v, eb = (c.to_numpy() for c in columns)
+        names = b.column("field_id")
+        name = names.dictionary_encode().indices.fill_null(-1).to_numpy()
+        cuts = (np.flatnonzero((np.diff(part) != 0) | (np.diff(name) != 0)) + 1).tolist()
+        for start, end in zip([0, *cuts], [*cuts, len(i)]):
+            if start == end:
+                continue
+            here = (names[start].as_py(), int(part[start]))
+            if pieces and here != now:
+                yield row()
+                pieces = []
+            now = here
+            pieces.append((i[start:end], v[start:end], eb[start:end]))
+    if pieces:
+        yield row()
+
+
+def _unpacked(batches):
+    """One row a part -> one row an element."""
+    for b in batches:
+        for k in range(b.num_rows):
+            i, code, v, xv = (np.frombuffer(b.column(c)[k].as_buffer(), t) for c, t in (("i", np.int64), ("code", np.int32), ("v", np.float64), ("xv", np.float64)))
+            for s in range(0, len(i), UNPACKED):
+                few = slice(s, s + UNPACKED)
+                names = pa.repeat(b.column("field_id")[k], len(i[few]))
+                yield pa.RecordBatch.from_arrays([names, *(pa.array(c[few]) for c in (i, code, v, xv))], names=["field_id", "i", "code", "v", "xv"])
+
+
 def whole_round_trip(df: DataFrame, ndim: int = 1, lx: int = 0, ly: int = 0, radius: int = 512) -> DataFrame:
     """field_id, i, code, v, xv: quantized and rebuilt over whole fields (indices dense from 0), each in one task.
 
-    lx and ly: lengths of x and y where ndim has them to count.
+    lx and ly: lengths of x and y where ndim has them to count.  A field with gaps or repeats is gone through point by
+    point from there on.
     """
     ship(df.sparkSession)
     if ndim > 1 and not lx or ndim > 2 and not ly:
         raise ValueError("lengths of the faster axes are needed")
-    lx, ly = lx if ndim > 1 else 0, ly if ndim > 2 else 1 << 62  # in one dimension i is x; in two y has no end
-    t = df.select("field_id", "i", F.col("v").cast("double").alias("v"), F.col("eb").cast("double").alias("eb")).repartition("field_id").sortWithinPartitions("field_id", "i")
+    plane = (1, lx, lx * ly)[ndim - 1]
+    size = max(1, SEGMENT // plane) * plane
+    t = df.select("field_id", F.col("i").cast("bigint").alias("i"), F.col("v").cast("double").alias("v"), F.col("eb").cast("double").alias("eb"))
+    t = t.withColumn("part", F.floor(F.col("i") / size).cast("bigint")).repartition("field_id", "part").sortWithinPartitions("field_id", "part", "i")
+    t = t.mapInArrow(_packed, "field_id string, part bigint, eb double, i binary, v binary")
 
     def run(batches):
-        now, there, back = None, None, None
+        now, trip = None, None
         for b in batches:
-            names, i, v, eb = (b.column(c).to_pylist() for c in ("field_id", "i", "v", "eb"))
-            codes, out = [0] * len(i), [0.0] * len(i)
-            for k in range(len(i)):
-                if there is None or names[k] != now:
-                    now = names[k]
-                    there, back = (_Whole(ndim, lx, ly, max(eb[k], 1e-300), radius) for _ in range(2))
-                codes[k], _ = there.quantize(i[k], v[k])
-                out[k] = back.rebuild(i[k], codes[k], v[k])
-            yield pa.RecordBatch.from_arrays([b.column("field_id"), b.column("i"), pa.array(codes, pa.int32()), b.column("v"), pa.array(out)], names=["field_id", "i", "code", "v", "xv"])
-
-    return t.mapInArrow(run, "field_id string, i bigint, code int, v double, xv double")
+            for k in range(b.num_rows):
+                name, eb = b.column("field_id")[k].as_py(), b.column("eb")[k].as_py()
+                if trip is None or name != now:
+                    now, trip = name, _RoundTrip(ndim, lx, ly, eb, radius)
+                i, v = (np.frombuffer(b.column(c)[k].as_buffer(), d) for c, d in (("i", np.int64), ("v", np.float64)))
+                codes, xv = trip.run(i, v)
+                made = [pa.array([x.tobytes()]) for x in (codes.astype(np.int32), xv)]
+                few = b.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([few.column("field_id"), few.column("part"), few.column("i"), made[0], few.column("v"), made[1]], names=["field_id", "part", "i", "code", "v", "xv"])
+
+    t = t.repartition("field_id").sortWithinPartitions("field_id", "part").mapInArrow(run, "field_id string, part bigint, i binary, code binary, v binary, xv binary")
+    return t.repartition("field_id", "part").mapInArrow(_unpacked, "field_id string, i bigint, code int, v double, xv double")

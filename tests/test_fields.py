@@ -2,6 +2,7 @@ import math
 import random
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,47 @@ def test_loop_carried_predictors(spark, shape, tile):
         assert r.code == code and math.isclose(r.xv, value, abs_tol=1e-9) and abs(r.xv - r.v) <= 0.05 * 1.001
 
 
+def test_whole_fields_in_segments(spark, monkeypatch):
+    """Lines that travel in many rows, the last one ragged, give what the definition gives; values that aren't finite are kept,
+    and behind a gap or a repeat no row is lost."""
+    monkeypatch.setattr(serial, "SEGMENT", 60)  # four lines
+    rnd, shape = random.Random(8), Shape(13, 41)
+    v = [math.sin(k / 7) * 20 + rnd.random() + (500 if k == 140 else 0) for k in range(shape.length)]
+    f = make(spark, v, shape).withColumn("eb", F.lit(0.05)).filter(F.col("i") < shape.length - 5)
+    out, want = serial.whole_round_trip(f.repartition(5), 2, 13).collect(), serial_brute(v, shape, None, 0.05)
+    assert sorted(r.i for r in out) == list(range(shape.length - 5))
+    assert all(r.code == want[r.i][0] and math.isclose(r.xv, want[r.i][1], abs_tol=1e-9) for r in out)
+    odd = f.withColumn("v", F.when(F.col("i") == 70, math.nan).when(F.col("i") == 200, math.inf).otherwise(F.col("v")))
+    got = {r.i: r for r in serial.whole_round_trip(odd, 2, 13).collect()}
+    assert got[70].code == got[200].code == 0 and math.isnan(got[70].xv) and got[200].xv == math.inf
+    assert all(abs(r.xv - r.v) <= 0.05 * 1.001 for i, r in got.items() if i not in (70, 200))
+    holes = f.filter(~F.col("i").isin(33, 300)).unionByName(f.filter("i = 90"))
+    for ndim in (1, 2):
+        out = serial.whole_round_trip(holes, ndim, 13).collect()
+        assert sorted(r.i for r in out) == sorted([*(set(range(shape.length - 5)) - {33, 300}), 90])
+        assert all(abs(r.xv - r.v) <= 0.05 * 1.001 for r in out)
+
+
+def coded_whole(monkeypatch, shape, lines):
+    """(calls of the quantizer, elements and codes) of a random field that is coded so many lines or planes at a time."""
+    calls, numbers, one = [], [], serial.quantized
+    monkeypatch.setattr(serial, "quantized", lambda v, *more: calls.append(len(v)) or one(v, *more))
+    v = np.random.default_rng(3).normal(size=shape.length) * 3
+    trip, step = serial._RoundTrip(shape.ndim, shape.x, shape.y, 0.05, 512), lines * shape.length // (shape.z if shape.ndim > 2 else shape.y)
+    for k in range(0, shape.length, step):
+        codes, back = trip.run(np.arange(k, k + step), v[k : k + step])
+        numbers += zip(codes.tolist(), back.tolist())
+    want = serial_brute(v.tolist(), shape, None, 0.05)
+    assert all(c == want[i][0] and math.isclose(x, want[i][1], abs_tol=1e-9) for i, (c, x) in enumerate(numbers))
+    return calls, len(numbers)
+
+
+def test_whole_fields_of_two_dimensions_by_diagonals(monkeypatch):
+    """One step for a diagonal, none for a point: two blocks of 100 lines of 64."""
+    calls, n = coded_whole(monkeypatch, Shape(64, 200), 100)
+    assert n == sum(calls) == 64 * 200 and len(calls) == 2 * (100 + 63)
+
+
 @pytest.mark.parametrize("shape", [Shape(37, 20), Shape(11, 9, 10)])
 def test_values_of_outliers_in_several_dimensions(spark, shape):
     rnd = random.Random(1)
