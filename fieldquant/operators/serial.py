@@ -307,11 +307,14 @@ class _RoundTrip:
 
 
 def _packed(batches):
-    """Rows in the order of field_id, part, i -> one row a part: its indices and values as bytes, and the bound of its first."""
+    """Rows in the order of field_id, part, i -> one row a part: its first index and bound, its values as bytes, and its indices
+    too if they have gaps or repeats."""
 
     def row():
         i, v, eb = (np.concatenate(c) for c in zip(*pieces))
-        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.string()), pa.array([now[1]], pa.int64()), pa.array(eb[:1]), pa.array([i.tobytes()]), pa.array([v.tobytes()])], names=["field_id", "part", "eb", "i", "v"])
+        odd = None if (np.diff(i) == 1).all() else i.tobytes()
+        columns = [pa.array([now[0]], pa.string()), pa.array([now[1]], pa.int64()), pa.array(eb[:1]), pa.array(i[:1]), pa.array([odd], pa.binary()), pa.array([v.tobytes()])]
+        return pa.RecordBatch.from_arrays(columns, names=["field_id", "part", "eb", "first", "i", "v"])
 
     now, pieces = None, []
     for b in batches:
@@ -335,11 +338,20 @@ def _packed(batches):
         yield row()
 
 
-def _unpacked(batches):
-    """One row a part -> one row an element."""
+def _numbers(b: pa.RecordBatch, k: int, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b.column(name)[k].as_buffer(), kind)
+
+
+def _indices(b: pa.RecordBatch, k: int, n: int) -> np.ndarray:
+    return _numbers(b, k, "i", np.int64) if b.column("i")[k].is_valid else b.column("first")[k].as_py() + np.arange(n)
+
+
+def _unpacked(batches, kind):
+    """One row a part -> one row an element; kind: how codes travel."""
     for b in batches:
         for k in range(b.num_rows):
-            i, code, v, xv = (np.frombuffer(b.column(c)[k].as_buffer(), t) for c, t in (("i", np.int64), ("code", np.int32), ("v", np.float64), ("xv", np.float64)))
+            code, v, xv = (_numbers(b, k, c, t) for c, t in (("code", kind), ("v", np.float64), ("xv", np.float64)))
+            i, code = _indices(b, k, len(v)), code.astype(np.int32)
             for s in range(0, len(i), UNPACKED):
                 few = slice(s, s + UNPACKED)
                 names = pa.repeat(b.column("field_id")[k], len(i[few]))
@@ -359,7 +371,8 @@ def whole_round_trip(df: DataFrame, ndim: int = 1, lx: int = 0, ly: int = 0, rad
     size = max(1, SEGMENT // plane) * plane
     t = df.select("field_id", F.col("i").cast("bigint").alias("i"), F.col("v").cast("double").alias("v"), F.col("eb").cast("double").alias("eb"))
     t = t.withColumn("part", F.floor(F.col("i") / size).cast("bigint")).repartition("field_id", "part").sortWithinPartitions("field_id", "part", "i")
-    t = t.mapInArrow(_packed, "field_id string, part bigint, eb double, i binary, v binary")
+    t = t.mapInArrow(_packed, "field_id string, part bigint, eb double, first bigint, i binary, v binary")
+    kind = np.min_scalar_type(2 * radius)
 
     def run(batches):
         now, trip = None, None
@@ -368,11 +381,11 @@ def whole_round_trip(df: DataFrame, ndim: int = 1, lx: int = 0, ly: int = 0, rad
                 name, eb = b.column("field_id")[k].as_py(), b.column("eb")[k].as_py()
                 if trip is None or name != now:
                     now, trip = name, _RoundTrip(ndim, lx, ly, eb, radius)
-                i, v = (np.frombuffer(b.column(c)[k].as_buffer(), d) for c, d in (("i", np.int64), ("v", np.float64)))
-                codes, xv = trip.run(i, v)
-                made = [pa.array([x.tobytes()]) for x in (codes.astype(np.int32), xv)]
-                few = b.slice(k, 1)
-                yield pa.RecordBatch.from_arrays([few.column("field_id"), few.column("part"), few.column("i"), made[0], few.column("v"), made[1]], names=["field_id", "part", "i", "code", "v", "xv"])
-
-    t = t.repartition("field_id").sortWithinPartitions("field_id", "part").mapInArrow(run, "field_id string, part bigint, i binary, code binary, v binary, xv binary")
-    return t.repartition("field_id", "part").mapInArrow(_unpacked, "field_id string, i bigint, code int, v double, xv double")
+                v = _numbers(b, k, "v", np.float64)
+                codes, xv = trip.run(_indices(b, k, len(v)), v)
+                made = [pa.array([x.tobytes()]) for x in (codes.astype(kind), xv)]
+                kept = ["field_id", "part", "first", "i", "v"]
+                yield pa.RecordBatch.from_arrays([*(b.slice(k, 1).column(c) for c in kept), *made], names=[*kept, "code", "xv"])
+
+    t = t.repartition("field_id").sortWithinPartitions("field_id", "part").mapInArrow(run, "field_id string, part bigint, first bigint, i binary, v binary, code binary, xv binary")
+    return t.repartition("field_id", "part").mapInArrow(lambda batches: _unpacked(batches, kind), "field_id string, i bigint, code int, v double, xv double")
