@@ -233,6 +233,21 @@ def test_whole_fields_of_two_dimensions_by_diagonals(monkeypatch):
     assert n == sum(calls) == 64 * 200 and len(calls) == 2 * (100 + 63)
 
 
+def test_whole_fields_of_three_dimensions_by_diagonals(spark, monkeypatch):
+    """One step for a diagonal: three blocks of 20 planes of 16 x 16; and planes in several rows with a ragged end, of two fields."""
+    with monkeypatch.context() as m:
+        calls, n = coded_whole(m, Shape(16, 16, 60), 20)
+    assert n == sum(calls) == 256 * 60 and len(calls) == 3 * (20 + 15 + 15)
+    monkeypatch.setattr(serial, "SEGMENT", 100)  # two planes
+    rnd, shape = random.Random(4), Shape(7, 6, 9)
+    v = {n: [math.sin(k / 7) * 20 + rnd.random() + (500 if k == 130 else 0) for k in range(shape.length)] for n in ("a", "b")}
+    f = make(spark, v["a"], shape, "a").unionByName(make(spark, v["b"], shape, "b")).withColumn("eb", F.lit(0.05))
+    out = serial.whole_round_trip(f.filter(F.col("i") < shape.length - 10).repartition(5), 3, 7, 6).collect()
+    assert sorted((r.field_id, r.i) for r in out) == [(n, k) for n in "ab" for k in range(shape.length - 10)]
+    want = {n: serial_brute(v[n], shape, None, 0.05) for n in v}
+    assert all(r.code == want[r.field_id][r.i][0] and math.isclose(r.xv, want[r.field_id][r.i][1], abs_tol=1e-9) for r in out)
+
+
 @pytest.mark.parametrize("shape", [Shape(37, 20), Shape(11, 9, 10)])
 def test_values_of_outliers_in_several_dimensions(spark, shape):
     rnd = random.Random(1)
